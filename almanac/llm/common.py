@@ -100,3 +100,33 @@ def spare(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of undirected edges (a, b): rows (node, component) for every node that
+    is not the smallest of its component; component is the smallest node.
+
+    Alternates large-star and small-star steps until nothing changes. A step needs the smallest
+    neighbour of each node, which tasks find before they shuffle; the joins on that table leave a
+    node with very many edges to Spark's splitting of skewed joins. Each round is written to the
+    shared folder. Edges never come to the driver, only their count and checksum.
+    """
+
+    def state(e: DataFrame):
+        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    now = materialize(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
+    before, seen = None, state(now)
+    while seen != before:
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, "large-star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nxt = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(large)
+        drop(now)
+        now, before, seen = nxt, seen, state(nxt)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

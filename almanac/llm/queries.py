@@ -5,13 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import mixing, rules
+from almanac.llm import chunks, mixing, packing, rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its text without repeated chunks, and how many words that took away."""
+    out = chunks.dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", F.size("spans").alias("n_spans"), removed.cast("long").alias("removed_words"), "first_ids", "spans", "text")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packing.Pack()
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(p.tokenizer), p)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -21,7 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op2_simhash": op2_simhash, "op4_substring_dedup": op4_substring_dedup, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules, "op10_mixing": op10_mixing}
 
 OP10_SQL = r"""
 WITH sizes AS (
