@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,40 +35,68 @@ class Pack:
     inside: float = 32.0
     per_window: float = 1.0
     stride: int = 256
-    cache: int = 300_000
+    cache: int = 500_000
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
+
+
+#: Latin letters and then signs, none of them a letter or digit.
+SIGNED = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]+)")
+
+
+class _Ids(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes, made when first asked for."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
+        self.tok = Tokenizer.from_file(path)
+        self.bpe, self.letters = self.tok.model, dict(enumerate(_byte_letters()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        if m := SIGNED.fullmatch(word):  # letters and signs are never in one piece
+            out = self[m[1]] + self[m[2]]
+        else:
+            w = word.decode("utf-8")
+            if w.isalpha() and max(w) < "\u0250" and w.lower() == w and is_normalized("NFC", w):
+                # a run of small Latin letters is what the tokenizer hands to its model, byte by byte
+                ids = [t.id for t in self.bpe.tokenize(w if w.isascii() else word.decode("latin-1").translate(self.letters))]
+            else:
+                ids = self.tok.encode(w, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
+        return out
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins what white space divides, so a text's ids are those of its words one
-    after another; words are encoded once and kept, up to a number of words.
+    The tokenizer folds case and never joins what white space divides, so a text's ids are those
+    of its words, A-Z in lower case, one after another. Each word is encoded once and kept; beyond
+    `keep` words the older half, which holds the frequent ones, stays.
     """
 
     def __init__(self, path: str, keep: int):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        self.tok, self.keep, self.ids = Tokenizer.from_file(path), keep, {}
+        self.ids, self.keep = _Ids(path), keep
 
     def encode(self, text: str | None) -> bytes:
-        words = text.encode("utf-8").split() if text else []
-        try:
-            return b"".join(map(self.ids.__getitem__, words))
-        except KeyError:
-            pass
+        data = text.encode("utf-8") if text else b""
+        if b"<|" not in data:  # special tokens are found before case is folded
+            data = data.lower()
         if len(self.ids) > self.keep:
-            self.ids.clear()
-        new = list({w for w in words if w not in self.ids})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tok.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.ids.__getitem__, words))
+            for w in list(islice(reversed(self.ids), self.keep // 2)):
+                del self.ids[w]
+        return b"".join(map(self.ids.__getitem__, data.split()))
 
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether its piece ends a word with a full stop, question or exclamation mark."""
-        vocab = self.tok.get_vocab()
+        vocab = self.ids.tok.get_vocab()
         out = np.zeros(max(vocab.values()) + 1, dtype=bool)
         out[[i for piece, i in vocab.items() if piece.endswith((".</w>", "!</w>", "?</w>"))]] = True
         return out
@@ -75,13 +108,19 @@ def cut_points(place: np.ndarray, penalty: np.ndarray, p: Pack) -> list[tuple[in
 
     cost(j) = penalty(j) + min over i within a window of cost(i) + window - (place(j) - place(i)),
     where a length that is a power of two pads nothing. Without that exception the minimum is of
-    cost(i) + place(i) over a sliding range, which a monotone queue keeps; the exception adds one
-    look-up for each power of two.
+    cost(i) + place(i) over a sliding range, which a monotone queue keeps; the exception adds the
+    pairs of places that lie a power of two apart.
     """
-    at = place.tolist()
-    pen = penalty.tolist()
-    index = {x: i for i, x in enumerate(at)}
-    powers = [1 << k for k in range(p.window.bit_length()) if 1 << k <= p.window]
+    at, pen = place.tolist(), penalty.tolist()
+    later, earlier = [np.array([len(at)])], [np.array([0])]
+    for k in range(p.window.bit_length()):
+        x = np.searchsorted(place, place - (1 << k))
+        j = np.flatnonzero((place - (1 << k) >= 0) & (place[x] == place - (1 << k)))
+        later.append(j)
+        earlier.append(x[j])
+    order = np.argsort(np.concatenate(later), kind="stable")
+    pairs = iter(zip(np.concatenate(later)[order].tolist(), np.concatenate(earlier)[order].tolist()))
+    pj, pi = next(pairs)
     best: list[tuple[int, float]] = [(-1, 0.0)]
     key, queue = [0.0], deque([0])
     for j in range(1, len(at)):
@@ -90,10 +129,10 @@ def cut_points(place: np.ndarray, penalty: np.ndarray, p: Pack) -> list[tuple[in
             queue.popleft()
         i = queue[0]
         low = key[i] + p.window - here
-        for k in powers:
-            x = index.get(here - k)
-            if x is not None and best[x][1] < low:
-                low, i = best[x][1], x
+        while pj == j:
+            if best[pi][1] < low:
+                low, i = best[pi][1], pi
+            pj, pi = next(pairs)
         low += pen[j] + p.per_window
         best.append((i, low))
         k = low + here
@@ -136,9 +175,15 @@ def cut_block(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray,
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+@lru_cache(2)
+def _encoder(path: str, keep: int) -> Encoder:
+    """One for each Python worker, which Spark uses for task after task."""
+    return Encoder(path, keep)
+
+
 def _packer(path: str, p: Pack):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, p.cache)
+        enc = _encoder(path, p.cache)
         ends_sentence = enc.sentence_ends()
         close = np.array([p.end_id], dtype="<u4").tobytes()
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
