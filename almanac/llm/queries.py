@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import chunks, mixing, packing, rules, simhash
+from almanac.llm import chunks, langid, mixing, packing, rules, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its text without repeated chunks, and how many words that took away."""
     out = chunks.dedup_substrings(table(spark, sf_dir, "documents"))
@@ -44,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_substring_dedup": op4_substring_dedup, "op5_packing": op5_packing, "op6_quality_rules": op6_quality_rules, "op10_mixing": op10_mixing}
+QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
 
 OP10_SQL = r"""
 WITH sizes AS (

@@ -1,0 +1,47 @@
+"""Language ID: gradients by finite differences, held-out accuracy, odd tables."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from almanac.llm import langid, queries
+
+
+def test_gradients_are_those_of_the_loss():
+    p = langid.Net(width=4, window=7)
+    m = langid.Model(["a", "b", "c"], p)
+    m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 256, (7, 5)), rng.integers(0, 3, 5)
+    weight = (rng.random((7, 5)) < 0.8).astype(np.float64)
+    _, g = m.gradients(x, weight, y)
+    for k, w in m.w.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, s) for s in w.shape) if k[0] != "E" else (rng.integers(0, 12), x[rng.integers(0, 7), rng.integers(0, 5)])
+            old, losses = w[at], []
+            for step in (1e-3, -1e-3):
+                w[at] = old + step
+                losses.append(m.gradients(x, weight, y)[0])
+            w[at] = old
+            assert abs((losses[0] - losses[1]) / 2e-3 - g[k][at]) < 2e-3
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    out = queries.op1_language_id(spark, d)
+    truth = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
+    r = out.join(truth, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert r[1] > 200 and r[0] > 0.97
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert out.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
+
+
+def test_odd_tables(spark):
+    rows = [(i, "the and of " * 9, "en", None) for i in range(40)] + [(100 + i, "der die das ü " * 9, "de", 1) for i in range(40)] + [(200, None, "en", 1), (201, "", None, 1), (202, "12 %%", "de", 1), (None, "ß", None, 1), (203, "the of and " * 40000, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    p = langid.Net(steps=150)
+    out = {r.doc_id: r for r in langid.language_id(df, p).collect()}
+    assert len(out) == len(rows) and all(out[i].lang_pred == "und" and out[i].score == 0 for i in (200, 201, 202))
+    assert out[3].lang_pred == "en" and out[103].lang_pred == "de" and out[203].lang_pred == "en" and out[None].lang_pred in ("de", "en")
+    assert langid.language_id(df.where("false"), p).collect() == []
+    assert {r.lang_pred for r in langid.language_id(df.withColumn("lang", F.lit(None).cast("string")), p).collect()} == {"und"}
+    assert langid.language_id(df.union(df), p).count() == 2 * len(rows)
