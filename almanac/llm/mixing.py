@@ -20,7 +20,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_copies: int)
     Sources by code point, null last, take the weights in turn. They share the sum of all sizes
     by weight; no target exceeds max_copies times its source's size, and what a source can't take
     goes to the others by weight. That fixed point is found at once: with the sources ordered by
-    cap / weight, the capped ones are a prefix.
+    cap / weight, the capped ones are a prefix, and the level that the rest share by weight is the
+    highest one: it rises as long as a source is capped and falls after that.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -31,10 +32,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_copies: int)
     before, after = tight.rowsBetween(Window.unboundedPreceding, -1), tight.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy(F.lit(1))
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after)
-    by = by.withColumn("_level", F.when(level * F.col("_w") <= F.col("_cap"), level))
-    # the first level that its own source can take holds for it and all after it
-    by = by.withColumn("_level", F.min("_level").over(everything))
-    return by.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"))
+    by = by.withColumn("_level", level).withColumn("_level", F.max("_level").over(everything))
+    return by.select("source", "source_size", F.least(F.col("_cap"), F.col("_level") * F.col("_w")).alias("target"))
 
 
 def pareto_rank(key: Column, inclusion: Column, seed: str) -> Column:
@@ -43,7 +42,7 @@ def pareto_rank(key: Column, inclusion: Column, seed: str) -> Column:
     The random number is made from md5(seed | key), so that reruns and other partitionings agree.
     """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(key.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
-    q = (u / (1 - u)) * ((1 - inclusion) / inclusion)
+    q = (u / (1 - u)) * F.try_divide(1 - inclusion, inclusion)
     return F.least(F.floor(q / (1 + q) * float(2**RANK_BITS)).cast("long"), F.lit(2**RANK_BITS - 1))
 
 

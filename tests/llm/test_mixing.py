@@ -1,0 +1,65 @@
+"""Mixing: targets against a plain model, what is taken, reruns, odd tables."""
+
+from collections import defaultdict
+
+from almanac.llm import mixing, queries
+
+
+def slow_targets(sizes, weights=(5, 2, 1), cap=3):
+    """By pouring: share by weight, cap, share the rest again."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), float(sum(sizes.values()))
+    while open_:
+        whole = sum(w[s] for s in open_)
+        over = [s for s in open_ if left * w[s] / whole > cap * sizes[s]]
+        if not over:
+            target |= {s: left * w[s] / whole for s in open_}
+            break
+        share = left
+        for s in over:
+            target[s] = float(cap * sizes[s])
+            left -= target[s]
+            open_.discard(s)
+        assert left <= share
+    return target
+
+
+def check(rows, near=0.1):
+    sizes, target, taken = defaultdict(int), {}, defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    want = slow_targets(sizes)
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, r["target"])
+        assert r["taken"] in [r["size"] * k for k in range(4)]
+        taken[r["source"]] += r["taken"]
+    for s in sizes:
+        largest = max(r["size"] for r in rows if r["source"] == s)
+        assert abs(taken[s] - want[s]) <= max(near * want[s], largest)
+
+
+def test_whole_table(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    taken, mixed = mixing.mix(docs)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    first = sorted(tuple(r) for r in queries.op10_mixing(spark, d).collect())
+    rows = [dict(zip(["doc_id", "size", "source_size", "target", "taken"], r), source=source[r[0]]) for r in first]
+    check(rows)
+    again = sorted(tuple(r) for r in mixing.mix(docs.repartition(7))[0].select("doc_id", "size", "source_size", "target", "taken").collect())
+    assert [r[:3] + r[4:] for r in again] == [r[:3] + r[4:] for r in first]
+    assert mixed.columns == docs.columns
+    times = {r["doc_id"]: r["taken"] // r["size"] for r in rows if r["size"]}
+    counted = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert all(counted.get(i, 0) == n for i, n in times.items())
+
+
+def test_odd_tables(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, "x y z", None), (4, "one " * 9000, "b"), (None, "q r", "b"), (5, "w", "c"), (6, "w", "c"), (6, "w", "c")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, size int")
+    taken, mixed = mixing.mix(df)
+    check([r.asDict() for r in taken.collect()])
+    assert mixed.columns == df.columns
+    assert mixing.mix(df.where("false"))[0].collect() == [] and mixing.mix(df.where("false"))[1].collect() == []
+    assert [r.target for r in mixing.mix(df.where("doc_id = 1"))[0].collect()] == [0.0]

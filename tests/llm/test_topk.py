@@ -1,0 +1,63 @@
+"""Exact top-k against brute force."""
+
+import math
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from almanac.llm import queries, topk
+
+
+def slow(rows, k=5, every=50):
+    v = {}
+    for i, e in rows:
+        if i is None or e is None or any(x is None or not math.isfinite(x) for x in e):
+            continue
+        v.setdefault(i, []).append([math.floor(256 * float(np.float32(x))) for x in e])
+    v = {(i, tuple(x)) for i, xs in v.items() for x in xs}
+    out = []
+    for i, q in v:
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in v if j != i)[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def got(df):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
+
+
+def test_whole_table(spark):
+    d = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
+    assert got(queries.op7_top_k(spark, d)) == slow(rows)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 7), st.integers(2, 300), st.sampled_from([1, 40, 3000]))
+def test_blocks_are_exact(seed, d, n, size):
+    rng = np.random.default_rng(seed)
+    c = rng.integers(-size, size + 1, (n, d)).astype(float)
+    ids = rng.permutation(n * 3)[:n]
+    out = topk.block_top(ids[:40], c[:40], ids, c, 5)
+    for i in range(min(40, n)):
+        mine = out[out.query_id == ids[i]]
+        want = sorted((-int(c[i] @ c[j]), int(ids[j])) for j in range(n) if j != i)[:5]
+        assert [(-s, v) for v, s in zip(mine.vec_id, mine.score)] == want
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(50, 37)), rng.normal(size=(60, 37))
+    for s in (1, 4, 16, 64):
+        assert (topk.segment_statistics(x, s) @ topk.segment_statistics(y, s).T >= x @ y.T - 1e-9).all()
+
+
+def test_odd_tables(spark):
+    rows = [(0, [0.5, 0.25]), (1, [0.5, 0.25]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, [0.001, -0.001]), (7, [1.0]), (8, []), (None, [1.0, 1.0]), (50, [-0.5, 0.1])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
+    assert got(topk.top_k(df)) == slow([(i, v + [0.0] * (2 - len(v)) if v is not None and len(v) < 2 else v) for i, v in rows])
+    assert got(topk.top_k(df.union(df))) == got(topk.top_k(df))
+    assert topk.top_k(df.where("false")).collect() == []
+    assert topk.top_k(df.where("vec_id = 0")).collect() == []
