@@ -130,3 +130,20 @@ def components(edges: DataFrame) -> DataFrame:
         drop(now)
         now, before, seen = nxt, seen, state(nxt)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+#: Tables of up to so many rows, of a few numbers each, are broadcast; they are counted first.
+SMALL_ROWS = 50_000
+#: Beyond that, a key of a table is dealt to so many tasks.
+SALTS = 32
+
+
+def join_small(rows: DataFrame, table: DataFrame, cond: Column, how: str = "inner") -> DataFrame:
+    """rows joined with a written table that has one row for each key: broadcast if its count is
+    small, else dealt by key and a salt, so that a key with very many rows goes to several tasks."""
+    if table.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(table), cond, how)
+    salt, copy = spare(rows, "_salt", "_copy")
+    rows = rows.withColumn(salt, F.floor(F.rand(7) * SALTS).cast("int"))
+    table = table.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(table, cond & (F.col(salt) == F.col(copy)), how).drop(salt, copy)

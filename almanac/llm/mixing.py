@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import count_words, materialize, spare
+from almanac.llm.common import count_words, join_small, materialize, spare
 
 #: A rank is cut to this many bits, read as LEVELS digits of DIGIT bits each.
 DIGIT, LEVELS = 10, 3
@@ -63,7 +63,7 @@ def sample_plan(sizes: DataFrame, weights: Sequence[float], max_copies: int, see
     for level in range(LEVELS):
         width = 1 << (RANK_BITS - DIGIT * (level + 1))
         a, b = sizes.alias("a"), plan.where("share > 0").alias("b")
-        ranked = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select(
+        ranked = join_small(a, b, F.col("a.source").eqNullSafe(F.col("b.source"))).select(
             F.col("b.source").alias("source"), "size", "cut", pareto_rank(F.col("a.key"), F.col("b.share"), seed).alias("rank")
         )
         inside = ranked.where((F.col("rank") >= F.col("cut")) & (F.col("rank") < F.col("cut") + width * (1 << DIGIT)))
@@ -116,7 +116,7 @@ def mix(
     def times(df: DataFrame, key: str, source: str) -> tuple[DataFrame, Column]:
         names = spare(df, "_psource", "_psize", "_ptarget", "_pcopies", "_pshare", "_pcut")
         p = plan.toDF(*names)
-        joined = df.join(p, F.col(f"`{source}`").eqNullSafe(F.col(names[0])))
+        joined = join_small(df, p, F.col(f"`{source}`").eqNullSafe(F.col(names[0])))
         extra = (F.col(names[4]) > 0) & (pareto_rank(F.col(f"`{key}`"), F.col(names[4]), seed) < F.col(names[5]))
         return joined, F.col(names[3]) + F.when(extra, 1).otherwise(0)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import GAP, count_chars, let, materialize, words
+from almanac.llm.common import GAP, count_chars, join_small, let, materialize, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -131,7 +131,7 @@ def _distance(p: int) -> Column:
 
 
 def _join(rows: DataFrame, params: DataFrame) -> DataFrame:
-    return rows.join(params.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).drop("_g")
+    return join_small(rows, params.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).drop("_g")
 
 
 def robust_params(rows: DataFrame, r: Robust) -> DataFrame:
@@ -193,7 +193,7 @@ def fit(stats: DataFrame, robust: Robust) -> tuple[DataFrame, DataFrame]:
 
 def _grouped(rows: DataFrame, named: DataFrame) -> DataFrame:
     cond = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    return rows.join(named, cond, "left").drop("_lang", "_source")
+    return join_small(rows, named, cond, "left").drop("_lang", "_source")
 
 
 def judge(stats: DataFrame, fitted: tuple[DataFrame, DataFrame], robust: Robust) -> DataFrame:
@@ -203,7 +203,7 @@ def judge(stats: DataFrame, fitted: tuple[DataFrame, DataFrame], robust: Robust)
     """
     named, params = fitted
     rows = _grouped(stats.withColumn("base_failed", base_failed()), named).withColumns(dict(zip(STATS, vector())))
-    out = rows.join(params.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g"), "left")
+    out = join_small(rows, params.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g"), "left")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance(len(STATS)) / F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= robust.cutoff, F.lit(True))
     return out.withColumn("kept", kept).select(*stats.columns, "base_failed", "kept", "distance")

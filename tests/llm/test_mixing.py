@@ -2,7 +2,7 @@
 
 from collections import defaultdict
 
-from almanac.llm import mixing, queries
+from almanac.llm import common, mixing, queries
 
 
 def slow_targets(sizes, weights=(5, 2, 1), cap=3):
@@ -55,6 +55,13 @@ def test_whole_table(spark):
     assert all(counted.get(i, 0) == n for i, n in times.items())
 
 
+def test_many_sources_go_by_salt(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', 1 + int(id % 7)) AS text", "concat('s', id % 40) AS source")
+    want = sorted(tuple(r) for r in mixing.mix(df)[0].collect())
+    monkeypatch.setattr(common, "SMALL_ROWS", 3)
+    assert sorted(tuple(r) for r in mixing.mix(df)[0].collect()) == want
+
+
 def test_odd_tables(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "x y z", None), (4, "one " * 9000, "b"), (None, "q r", "b"), (5, "w", "c"), (6, "w", "c"), (6, "w", "c")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, size int")
