@@ -229,7 +229,8 @@ def keep_good(docs: DataFrame, robust: Robust = Robust()) -> DataFrame:
     is shuffled; a row's verdict depends on its statistics and its group only.
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = own.select("row", F.col("row.lang").cast("string").alias("lang"), F.col("row.source").cast("string").alias("source"), text_stats(F.col("row.text")).alias("s"))
+    # explode keeps the optimizer from copying the statistics into each expression that uses them
+    rows = own.select("row", F.col("row.lang").cast("string").alias("lang"), F.col("row.source").cast("string").alias("source"), F.explode(F.array(text_stats(F.col("row.text")))).alias("s"))
     stats = materialize(rows.select("lang", "source", "s.*"), "rules-stats")
     judged = judge(rows.select("row", "lang", "source", "s.*"), fit(stats, robust), robust)
     return judged.where("kept").select("row.*")
