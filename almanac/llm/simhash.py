@@ -250,5 +250,6 @@ def keep_one(docs: DataFrame, tau: int = 4) -> DataFrame:
     if it repeats. Rows without an id can't be named by one and all stay."""
     found, name = near_duplicates(docs, tau), spare(docs, "_kept")[0]
     kept = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct(), "kept-ids")
-    some = docs.join(kept, F.col("doc_id") == F.col(name), "left_semi")
+    # the ids grow with the documents, so they are never broadcast
+    some = docs.join(kept.hint("merge"), F.col("doc_id") == F.col(name), "left_semi")
     return some.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
