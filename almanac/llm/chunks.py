@@ -107,7 +107,7 @@ def repeated_chunks(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     """
     rows = docs.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = materialize(rows.mapInArrow(_chunk_rows, "doc_id long, start int, end int, digest long, again boolean"), "chunks")
-    several = chunks.where("NOT again").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").select("digest", "first_id")
+    several = chunks.where("NOT again").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").select("digest", "first_id").hint("merge")
     across = chunks.where("NOT again").join(several, "digest").where("NOT (doc_id <=> first_id)").select("doc_id", "start", "end", "first_id")
     within = chunks.where("again").select("doc_id", "start", "end", F.col("doc_id").alias("first_id"))
     out = materialize(across.unionByName(within), "repeated")
@@ -151,7 +151,8 @@ def dedup_substrings(docs: DataFrame, key_col: str = "doc_id", text_col: str = "
     found = repeated_chunks(docs, key_col, text_col)
     lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("c"), F.array_sort(F.collect_set("first_id")).alias("ids"))
     lists = materialize(lists.select(F.col("doc_id").alias(key), merged_spans(F.col("c.start"), F.col("c.end")).alias(cuts), F.col("ids").alias(ids_name)), "spans")
-    joined = docs.join(lists, F.col(f"`{key_col}`").cast("long").eqNullSafe(F.col(key)), "left")
+    # digests and span lists grow with the documents, so neither is ever broadcast
+    joined = docs.join(lists.hint("merge"), F.col(f"`{key_col}`").cast("long").eqNullSafe(F.col(key)), "left")
     cut = joined.where(F.col(cuts).isNotNull())
     cut = cut.withColumn(text_col, without_words(F.col(f"`{text_col}`"), F.col(f"{cuts}.start"), F.col(f"{cuts}.end")))
     both = cut.unionByName(joined.where(F.col(cuts).isNull()))
