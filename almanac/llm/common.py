@@ -138,12 +138,14 @@ SMALL_ROWS = 50_000
 SALTS = 32
 
 
-def join_small(rows: DataFrame, table: DataFrame, cond: Column, how: str = "inner") -> DataFrame:
+def join_small(rows: DataFrame, table: DataFrame, cond: Column, how: str = "inner", by: Column | None = None) -> DataFrame:
     """rows joined with a written table that has one row for each key: broadcast if its count is
-    small, else dealt by key and a salt, so that a key with very many rows goes to several tasks."""
+    small, else dealt by key and a salt, so that a key with very many rows goes to several tasks.
+    by: what the salt is a hash of, needed where rows come from a shuffle, whose order a task that
+    is run again may not find; rows of a scan get random salts."""
     if table.count() <= SMALL_ROWS:
         return rows.join(F.broadcast(table), cond, how)
     salt, copy = spare(rows, "_salt", "_copy")
-    rows = rows.withColumn(salt, F.floor(F.rand(7) * SALTS).cast("int"))
+    rows = rows.withColumn(salt, (F.floor(F.rand(7) * SALTS) if by is None else F.pmod(F.xxhash64(by), F.lit(SALTS))).cast("int"))
     table = table.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.join(table, cond & (F.col(salt) == F.col(copy)), how).drop(salt, copy)

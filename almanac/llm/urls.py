@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import materialize
+from almanac.llm.common import join_small, materialize
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -58,6 +58,12 @@ def _segments(path: Column, depth: int) -> Column:
     return F.concat(F.slice(s, 1, depth), F.when(deep, F.array(F.concat_ws("/", F.slice(s, depth + 1, F.greatest(F.size(s), F.lit(1)))))).otherwise(F.array().cast("array<string>")), F.array(F.lit(END)))
 
 
+def _with_sums(child: DataFrame, sums: DataFrame) -> DataFrame:
+    """Children with the sums of their node, of which one may have most of all children."""
+    sums = materialize(sums.withColumnRenamed("node", "_n"), "tree-sums")
+    return join_small(child, sums, F.col("node") == F.col("_n"), "left", F.col("seg")).drop("_n")
+
+
 def template_paths(paths: DataFrame, t: Templates) -> DataFrame:
     """paths: (host, path, n, labelled, blocked), one row each. (host, path, template, labelled, blocked).
 
@@ -70,13 +76,12 @@ def template_paths(paths: DataFrame, t: Templates) -> DataFrame:
         tree = tree.withColumn("seg", F.get("s", F.lit(level)))
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
         child = materialize(tree.where("seg IS NOT NULL").groupBy("node", "seg").agg(*sums), "tree-children")
-        all_n = child.groupBy("node").agg(F.sum("n").alias("all_n"))
-        child = child.join(all_n, "node")
+        child = _with_sums(child, child.groupBy("node").agg(F.sum("n").alias("all_n")))
         stays = (F.col("n") >= t.least) & (F.col("n") >= t.share * F.col("all_n")) | (F.col("seg") == END)
         child = child.withColumn("stays", stays)
         told = F.col("stays") & (F.col("seg") != END)
         kept = child.where(told).groupBy("node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        child = child.join(kept, "node", "left")
+        child = _with_sums(child, kept)
         rest_l, rest_b = F.col("l") - F.col("labelled"), F.col("b") - F.col("blocked")
         rate = F.col("b") / F.col("l")
         error = F.sqrt(rate * (1 - rate) * (1 / F.col("labelled") + 1 / rest_l))
@@ -109,8 +114,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, t: Te
     sums = materialize(sums, "templates")
     corpus = sums.agg(F.coalesce(F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1)), F.lit(0.0)).alias("rate")).first()["rate"]
     bad = (F.col("blocked") + t.prior * corpus) / (F.col("labelled") + t.prior) >= t.purity
-    bad = sums.select("template", bad.alias("bad"))
-    known = materialize(found.select("host", "path", "template").join(bad, "template"), "path-verdicts")
+    bad = sums.select(F.col("template").alias("_t"), bad.alias("bad"))
+    known = materialize(join_small(found.select("host", "path", "template"), bad, F.col("template") == F.col("_t"), by=F.col("path")).drop("_t"), "path-verdicts")
     a, b = rows.alias("a"), known.alias("b")
     out = a.join(b, (F.col("a.host") == F.col("b.host")) & (F.col("a.path") == F.col("b.path")), "left")
     final = F.coalesce("by_rule", F.when(F.col("bad"), "block").otherwise("allow"))
