@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 from math import sqrt
 
-from almanac.llm import queries, urls
+from almanac.llm import common, queries, urls
 
 
 def slow_parse(url):
@@ -98,3 +98,9 @@ def test_pure_templates_are_rejected(spark):
     rows = [(i, f"http://a.org/x/bad-{i}") for i in range(40)] + [(50 + i, f"http://a.org/x/other-{i}") for i in range(5)] + [(60 + i, f"http://a.org/y/{i}") for i in range(40)] + [(200, "http://a.org/z/1")]
     out = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
     assert out[52] == "block" and out[200] == "allow" and out[61] == "allow"
+
+
+def test_sums_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
+    rows = [(i, f"http://b.net/{'es' if i % 2 else 'q'}/{i}") for i in range(50)] + [(60 + i, "http://b.net/q") for i in range(5)] + [(99, None), (100, "http://c.net/fr/1")]
+    assert got(urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"))) == slow(rows)
