@@ -83,35 +83,48 @@ LOT = 1 << 20
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def done(keys: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    def done(rows: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
         doc, start, end, digest, again = chunk_texts(texts)
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(digest), pa.array(again)], names=["doc_id", "start", "end", "digest", "again"])
+        keys = [rows.column(c).take(pa.array(doc)) for c in ("doc_id", "whole")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(digest), pa.array(again)], names=["doc_id", "whole", "start", "end", "digest", "again"])
 
     for batch in batches:
         texts, at, size = batch.column("text").to_pylist(), 0, 0
         for i, t in enumerate(texts):
             size += len(t or "")
             if size >= LOT or i == len(texts) - 1:
-                yield done(batch.column("doc_id")[at : i + 1], texts[at : i + 1])
+                yield done(batch.slice(at, i + 1 - at), texts[at : i + 1])
                 at, size = i + 1, 0
 
 
+def whole_digest(text: Column) -> Column:
+    """With the id, it names a document: rows of one id that differ in text are several."""
+    return F.xxhash64(text)
+
+
 def repeated_chunks(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, first_id) of each chunk that stands in a document with a smaller id
-    (first_id: the smallest) or earlier in its own, in words. Rows with the same id count as one
-    document, and null ids as one that comes last.
+    """(doc_id, whole, start, end, first_id) of each chunk that stands in an earlier document too
+    (first_id: the id of the first) or earlier in its own, in words. Documents are ordered by id,
+    null ids last, then by whole, the digest of the whole text; rows equal in both are one document.
 
     Chunks are written once. A digest's count and smallest id come from sums that tasks make
     before they shuffle; then the chunks meet the digests of several documents in a join that
-    Spark splits where a digest is very frequent.
+    Spark splits where a digest is very frequent. Where several documents have the smallest id,
+    or all have none, the smallest whole among them is found in the same way.
     """
-    rows = docs.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = materialize(rows.mapInArrow(_chunk_rows, "doc_id long, start int, end int, digest long, again boolean"), "chunks")
+    text = F.col(text_col)
+    rows = docs.select(F.col(key_col).cast("long").alias("doc_id"), whole_digest(text).alias("whole"), text.alias("text"))
+    chunks = materialize(rows.mapInArrow(_chunk_rows, "doc_id long, whole long, start int, end int, digest long, again boolean"), "chunks")
     several = chunks.where("NOT again").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").select("digest", "first_id").hint("merge")
-    across = chunks.where("NOT again").join(several, "digest").where("NOT (doc_id <=> first_id)").select("doc_id", "start", "end", "first_id")
-    within = chunks.where("again").select("doc_id", "start", "end", F.col("doc_id").alias("first_id"))
-    out = materialize(across.unionByName(within), "repeated")
+    met = materialize(chunks.where("NOT again").join(several, "digest").select("doc_id", "whole", "start", "end", "digest", "first_id"), "met")
+    across = met.where("NOT (doc_id <=> first_id)").select("doc_id", "whole", "start", "end", "first_id")
+    least = met.where("doc_id <=> first_id")
+    tied = least.groupBy("digest").agg(F.min("whole").alias("w"), F.max("whole").alias("v")).where("w < v").select("digest", "w").hint("merge")
+    ties = least.join(tied, "digest").where("whole > w").select("doc_id", "whole", "start", "end", "first_id")
+    within = chunks.where("again").select("doc_id", "whole", "start", "end", F.col("doc_id").alias("first_id"))
+    out = materialize(across.unionByName(ties).unionByName(within), "repeated")
     drop(chunks)
+    drop(met)
     return out
 
 
@@ -143,16 +156,18 @@ def dedup_substrings(docs: DataFrame, key_col: str = "doc_id", text_col: str = "
     end, in words of the old text), first_ids (the documents that hold what was cut), after the
     columns of docs; their names get underscores if docs has such columns.
 
-    The first occurrence, by id and place, stays. Null texts stay null; texts without a word stay as they are.
-    Ties can't arise: a place is one of a document. Rows with the same id count as one document
-    and are cut alike. An empty table gives an empty result. Other columns pass through.
+    The first occurrence, by id, null last, then digest of the whole text, and place, stays. Null
+    texts stay null; texts without a word stay as they are. Ties can't arise: a place is one of a
+    document. Rows with the same id and text count as one document and are cut alike; rows of one
+    id, or of none, with different texts are documents of their own. first_ids leaves null ids out.
+    An empty table gives an empty result. Other columns pass through.
     """
-    spans_name, ids_name, key, cuts = spare(docs, "spans", "first_ids", "_key", "_cuts")
+    spans_name, ids_name, key, whole, cuts = spare(docs, "spans", "first_ids", "_key", "_whole", "_cuts")
     found = repeated_chunks(docs, key_col, text_col)
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("c"), F.array_sort(F.collect_set("first_id")).alias("ids"))
-    lists = materialize(lists.select(F.col("doc_id").alias(key), merged_spans(F.col("c.start"), F.col("c.end")).alias(cuts), F.col("ids").alias(ids_name)), "spans")
+    lists = found.groupBy("doc_id", "whole").agg(F.collect_list(F.struct("start", "end")).alias("c"), F.array_sort(F.collect_set("first_id")).alias("ids"))
+    lists = materialize(lists.select(F.col("doc_id").alias(key), F.col("whole").alias(whole), merged_spans(F.col("c.start"), F.col("c.end")).alias(cuts), F.col("ids").alias(ids_name)), "spans")
     # digests and span lists grow with the documents, so neither is ever broadcast
-    joined = docs.join(lists.hint("merge"), F.col(f"`{key_col}`").cast("long").eqNullSafe(F.col(key)), "left")
+    joined = docs.join(lists.hint("merge"), F.col(f"`{key_col}`").cast("long").eqNullSafe(F.col(key)) & (whole_digest(F.col(f"`{text_col}`")) == F.col(whole)), "left")
     cut = joined.where(F.col(cuts).isNotNull())
     cut = cut.withColumn(text_col, without_words(F.col(f"`{text_col}`"), F.col(f"{cuts}.start"), F.col(f"{cuts}.end")))
     both = cut.unionByName(joined.where(F.col(cuts).isNull()))

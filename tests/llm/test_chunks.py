@@ -91,6 +91,21 @@ def test_odd_tables(spark):
     assert chunks.dedup_substrings(df.where("false")).collect() == []
 
 
+def test_rows_without_an_id_or_with_the_same_are_cut_by_their_own_spans(spark):
+    rng = random.Random(8)
+    passage, shared = words(rng, 60), words(rng, 60)
+    rows = [(i, f"{words(rng, 10 + 40 * k)} {passage} {words(rng, 30)}") for i in (1, None, 5) for k in range(3)]
+    rows += [(None, f"{words(rng, 90)} {shared} {words(rng, 9)}"), (None, f"{words(rng, 5)} {shared}"), (None, words(rng, 12)), (5, words(rng, 7)), (1, words(rng, 5))]
+    df = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "row int, doc_id long, text string")
+    out = {r.row: r for r in chunks.dedup_substrings(df).collect()}
+    removed = [sum(s.end - s.start for s in out[k].spans) for k in range(len(rows))]
+    assert all(len(out[k].text.split()) == len(t.split()) - removed[k] for k, (_, t) in enumerate(rows))
+    assert all(t.startswith(out[k].text[:20]) for k, (_, t) in enumerate(rows[:9]) if k % 3)
+    assert sorted(removed[:3])[0] == 0 and all(25 < n <= 60 for n in sorted(removed[:3])[1:] + removed[3:9])
+    assert sorted(n > 25 for n in removed[9:11]) == [False, True] and removed[11:] == [0, 0, 0]
+    assert all(out[k].first_ids[0] == 1 for k in range(3, 9)) and all(out[k].first_ids == [] for k in (9, 10))
+
+
 def test_cut_words_keeps_the_rest():
     assert chunks.cut_words("  a b\n\nc  d ", [(1, 3)]) == "  a d "
     assert chunks.cut_words("a b c", [(0, 3)]) == "" and chunks.cut_words("é b\tc", [(2, 3)]) == "é b\t"
