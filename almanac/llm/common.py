@@ -19,9 +19,11 @@ _own_dirs: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
-    unset (tests on one machine), a temporary folder of this session."""
+    unset and the master is local, a temporary folder of this session. A cluster must name one."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="almanac-")
@@ -107,31 +109,51 @@ def components(edges: DataFrame) -> DataFrame:
     is not the smallest of its component; component is the smallest node.
 
     Alternates large-star and small-star steps until nothing changes. A step needs the smallest
-    neighbour of each node, which tasks find before they shuffle; the joins on that table leave a
-    node with very many edges to Spark's splitting of skewed joins. Each round is written to the
-    shared folder. Edges never come to the driver, only their count and checksum.
+    neighbour of each node, which tasks find before they shuffle; a node with very many edges meets
+    it by join_hot(). Each round is written to the shared folder. Edges never come to the driver,
+    only their count and checksum.
     """
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
+    def neighbours(e: DataFrame) -> DataFrame:
+        return materialize(e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "neighbours")
+
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = materialize(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
     before, seen = None, state(now)
     while seen != before:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        nxt = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        drop(large)
-        drop(now)
+        least = neighbours(both)
+        large = join_hot(both, least, ["a"]).select("a", "b", F.least("a", "m").alias("m")).where("b > a")
+        large = materialize(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        first = neighbours(large)
+        small = join_hot(large, first, ["a"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nxt = materialize(small.union(first.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        for df in (least, large, first, now):
+            drop(df)
         now, before, seen = nxt, seen, state(nxt)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+#: A key that has more than one in so many of all rows is hot; so there are fewer hot keys than that.
+HOT = 256
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", n: str = "n") -> DataFrame:
+    """rows joined, inner or left, with a written table that has one row for each key and in column n how many
+    of rows have it. The fewer than HOT hot keys are broadcast, so that their rows stay where they
+    are; all others meet by a shuffle, in which no key is large. n is dropped."""
+    total, most = table.agg(F.sum(n), F.max(n)).first()
+    edge = max(1, (total or 0) / HOT)
+    if (most or 0) <= edge:
+        return rows.join(table.drop(n).hint("merge"), keys, how)
+    hot, rest = F.broadcast(table.where(F.col(n) > edge).drop(n)), table.where(F.col(n) <= edge).drop(n).hint("merge")
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(others.join(rest, keys, how))
+
+
 #: Tables of up to so many rows, of a few numbers each, are broadcast; they are counted first.
 SMALL_ROWS = 50_000
 #: Beyond that, a key of a table is dealt to so many tasks.

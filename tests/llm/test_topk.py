@@ -1,25 +1,21 @@
-"""Exact top-k against brute force."""
+"""Exact top-k against brute force, and what the bounds leave to be scored."""
 
 import math
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from almanac.llm import queries, topk
 
 
 def slow(rows, k=5, every=50):
-    v = {}
-    for i, e in rows:
-        if i is None or e is None or any(x is None or not math.isfinite(x) for x in e):
-            continue
-        v.setdefault(i, []).append([math.floor(256 * float(np.float32(x))) for x in e])
-    v = {(i, tuple(x)) for i, xs in v.items() for x in xs}
+    v = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     out = []
-    for i, q in v:
+    for a, (i, q) in enumerate(v):
         if i % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in v if j != i)[:k]
+            best = sorted((-sum(x * y for x, y in zip(q, c)), j) for b, (j, c) in enumerate(v) if b != a)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -34,17 +30,25 @@ def test_whole_table(spark):
     assert got(queries.op7_top_k(spark, d)) == slow(rows)
 
 
+def clustered(n, seed=3, d=32, centers=12):
+    rng = np.random.default_rng(seed)
+    mid = rng.normal(size=(centers, 4)).repeat(d // 4, axis=1) * 3
+    return (mid[rng.integers(0, centers, n)] + rng.normal(size=(n, d)) * 0.05).astype(np.float32)
+
+
 @settings(max_examples=80, deadline=None)
-@given(st.integers(0, 2**32), st.integers(1, 7), st.integers(2, 300), st.sampled_from([1, 40, 3000]))
+@given(st.integers(0, 2**32), st.integers(1, 7), st.integers(2, 300), st.sampled_from([1, 40, 3000, 1 << 30]))
 def test_blocks_are_exact(seed, d, n, size):
     rng = np.random.default_rng(seed)
-    c = rng.integers(-size, size + 1, (n, d)).astype(float)
-    ids = rng.permutation(n * 3)[:n]
-    out = topk.block_top(ids[:40], c[:40], ids, c, 5)
-    for i in range(min(40, n)):
-        mine = out[out.query_id == ids[i]]
-        want = sorted((-int(c[i] @ c[j]), int(ids[j])) for j in range(n) if j != i)[:5]
-        assert [(-s, v) for v, s in zip(mine.vec_id, mine.score)] == want
+    c = rng.integers(-size, size + 1, (n, d))
+    rows, ids = np.arange(n), rng.integers(0, n, n)
+    all_scores = [sorted((-sum(int(a) * int(b) for a, b in zip(c[i], c[j])), int(ids[j])) for j in range(n) if j != i)[:5] for i in range(min(40, n))]
+    for mark in (None, np.array([-float(s[-1][0]) if len(s) == 5 else -np.inf for s in all_scores])):
+        out, seen = topk.block_top(rows[:40], c[:40], rows, ids, c, 5, mark)
+        assert list(seen) == sorted(seen, reverse=True)
+        for i, want in enumerate(all_scores):
+            mine = out[out["query"] == i]
+            assert [(-s, v) for v, s in zip(mine.vec_id, mine.score)] == want
 
 
 def test_bounds_hold():
@@ -54,10 +58,30 @@ def test_bounds_hold():
         assert (topk.segment_statistics(x, s) @ topk.segment_statistics(y, s).T >= x @ y.T - 1e-9).all()
 
 
+def test_bounds_prune_clustered_vectors():
+    c = np.floor(256 * clustered(3000)).astype(np.int64)
+    rows = np.arange(len(c))
+    _, seen = topk.block_top(rows[:100], c[:100], rows, rows, c, 5)
+    assert seen[0] == 100 * 2999 and seen[1] < 0.2 * seen[0] and seen[-1] < 0.15 * seen[0]
+
+
+def test_cells_blocks_and_marks(spark):
+    """Several cells and blocks, a hot vector that fills some, repeated ids: the same as brute force, and blocks are skipped."""
+    v = clustered(700)
+    v[300:500] = v[0]
+    rows = [(i if i < 690 else 50, [float(x) for x in e]) for i, e in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    p = topk.Search(block=32, queries=4, pivots=16, sample=200)
+    assert got(topk.top_k(df, p=p)) == slow(rows)
+    assert got(topk.top_k(df.repartition(7), p=topk.Search(block=100, queries=100, pivots=3))) == slow(rows)
+
+
 def test_odd_tables(spark):
-    rows = [(0, [0.5, 0.25]), (1, [0.5, 0.25]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, [0.001, -0.001]), (7, [1.0]), (8, []), (None, [1.0, 1.0]), (50, [-0.5, 0.1])]
+    rows = [(0, [0.5, 0.25]), (1, [0.5, 0.25]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, [0.001, -0.001]), (7, [1.0]), (8, []), (None, [1.0, 1.0]), (50, [-0.5, 0.1]), (50, [0.5, 0.1])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
-    assert got(topk.top_k(df)) == slow([(i, v + [0.0] * (2 - len(v)) if v is not None and len(v) < 2 else v) for i, v in rows])
-    assert got(topk.top_k(df.union(df))) == got(topk.top_k(df))
+    padded = [(i, v + [0.0] * (2 - len(v)) if v is not None and len(v) < 2 else v) for i, v in rows]
+    assert got(topk.top_k(df)) == slow(padded)
+    assert got(topk.top_k(df.union(df))) == slow(padded + padded)
     assert topk.top_k(df.where("false")).collect() == []
     assert topk.top_k(df.where("vec_id = 0")).collect() == []
+    assert topk.top_k(df.withColumn("embedding", F.lit(None).cast("array<float>"))).collect() == []
