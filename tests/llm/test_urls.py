@@ -1,7 +1,9 @@
 """URL filters against a plain model."""
 
+import random
+import re
 from collections import Counter, defaultdict
-from math import sqrt
+from math import floor, sqrt
 
 from almanac.llm import common, queries, urls
 
@@ -16,60 +18,86 @@ def slow_parse(url):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
 
 
-def slow_rule(host, path):
-    fit = [(len(r), r, v) for v, r in urls.RULES for h, p in [(r[: r.index("/")], r[r.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+def slow_rule(host, path, rules=urls.RULES):
+    fit = [(len(r), r, v) for v, r in rules for h, p in [(r[: r.index("/")], r[r.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fit)[1:] if fit else (None, None)
 
 
-def slow(rows, t=urls.Templates()):
+def slow_shape(seg):
+    return re.sub("[0-9]+", "9", re.sub("[^0-9]+", "a", seg))
+
+
+def same_rate(a, n, b, m, z):
+    if not (n > 0 and m > 0):
+        return True
+    r = (a + b) / (n + m)
+    return abs(a / n - b / m) <= z * sqrt(r * (1 - r) * (1 / n + 1 / m)) + 1e-9
+
+
+def same_mean(a, n, b, m, squares, z):
+    if not (n > 0 and m > 0):
+        return True
+    r = (a + b) / (n + m)
+    return abs(a / n - b / m) <= z * sqrt(max(0, squares / (n + m) - r * r) * (1 / n + 1 / m)) + 1e-9
+
+
+def slow_templates(count, ruled, t):
+    """The template of each (host, path), by plain recursion over nodes."""
+    out = {}
+
+    def grow(name, members, at):
+        kids = defaultdict(list)
+        for k in members:
+            kids[parts[k][at] if at < len(parts[k]) else "#."].append(k)
+        whole = sum(count[k] for k in members)
+        for k in kids.pop("#.", []):
+            out[k] = f"{name}/#."
+        stat = {}
+        for seg, ks in kids.items():
+            left = {k: len(parts[k]) - at - 1 for k in ks}
+            stat[seg] = [
+                sum(count[k] for k in ks), sum(count[k] for k in ks if ruled[k][1]), sum(count[k] for k in ks if ruled[k][1] == "block"),
+                sum(count[k] * left[k] for k in ks), sum(count[k] * left[k] ** 2 for k in ks), sum(count[k] for k in ks if left[k] and re.search("[0-9]", parts[k][at + 1])),
+            ]
+        stays = [s for s in kids if stat[s][0] >= t.least and stat[s][0] >= t.share * whole]
+        side = {s: "u" if not stat[s][1] else "b" if 2 * stat[s][2] >= stat[s][1] else "a" for s in stays}
+        kind = {s: f"{slow_shape(s)}:{side[s]}:{floor(stat[s][3] / stat[s][0] + 0.5)}" for s in stays}
+        merged = defaultdict(list)
+        for s in stays:
+            cls = kind[s]
+            rest = [sum(stat[x][c] for x in stays if x != s and kind[x] == cls) for c in range(6)]
+            a, b = stat[s], rest
+            alike = b[0] > 0 and same_rate(a[1], a[0], b[1], b[0], t.z) and same_rate(a[2], a[1], b[2], b[1], t.z) and same_mean(a[3], a[0], b[3], b[0], a[4] + b[4], t.z) and same_rate(a[5], a[0], b[5], b[0], t.z)
+            merged[f"#={cls}" if alike else s] += kids[s]
+        for token, ks in merged.items():
+            grow(f"{name}/{token}", ks, at + 1)
+        rare = [k for s in kids if s not in stays for k in kids[s]]
+        if rare:
+            grow(f"{name}/#*", rare, at + 1)
+
+    parts = {k: [x for x in k[1].split("/") if x] for k in count}
+    for host in {h for h, _ in count}:
+        grow(host, [k for k in count if k[0] == host], 0)
+    return out
+
+
+def slow(rows, t=urls.Templates(), rules=urls.RULES):
     seen = [(i, *slow_parse(u)) for i, u in rows]
-    ruled = {(h, p): slow_rule(h, p) for _, h, p in seen}
+    ruled = {(h, p): slow_rule(h, p, rules) for _, h, p in seen}
     count = Counter((h, p) for _, h, p in seen)
-    parts, node = {}, {}
-    for h, p in count:
-        s = [x for x in p.split("/") if x]
-        parts[h, p] = s[: t.depth] + (["/".join(s[t.depth :])] if len(s) > t.depth else []) + ["."]
-        node[h, p] = h
-    for level in range(t.depth + 1):
-        sums = defaultdict(lambda: [0, 0, 0])
-        for k, n in count.items():
-            if level < len(parts[k]):
-                c, v = sums[node[k], parts[k][level]], ruled[k][1]
-                c[0] += n
-                c[1] += n * (v is not None)
-                c[2] += n * (v == "block")
-        whole, told = Counter(), defaultdict(lambda: [0, 0])
-        for (n, s), c in sums.items():
-            whole[n] += c[0]
-        stays = {}
-        for (n, s), c in sums.items():
-            stays[n, s] = s == "." or c[0] >= t.least and c[0] >= t.share * whole[n]
-            if stays[n, s] and s != ".":
-                told[n][0] += c[1]
-                told[n][1] += c[2]
-        for k in count:
-            if level < len(parts[k]):
-                n, s = node[k], parts[k][level]
-                c, (l, b) = sums[n, s], told[n]
-                token = s
-                if s != ".":
-                    if not stays[n, s]:
-                        token = "*"
-                    elif c[1] and l - c[1]:
-                        r = b / l
-                        if abs(c[2] / c[1] - (b - c[2]) / (l - c[1])) <= t.z * sqrt(r * (1 - r) * (1 / c[1] + 1 / (l - c[1]))):
-                            token = "+"
-                node[k] = f"{n}/{token}"
-    lab, blk = Counter(), Counter()
+    template = slow_templates(count, ruled, t)
+    lab, blk, host_lab, host_blk = Counter(), Counter(), Counter(), Counter()
     for k, n in count.items():
-        lab[node[k]] += n * (ruled[k][1] is not None)
-        blk[node[k]] += n * (ruled[k][1] == "block")
-    rate = sum(blk.values()) / max(1, sum(lab.values()))
+        for total, wanted in ((lab, ruled[k][1] is not None), (blk, ruled[k][1] == "block")):
+            total[template[k]] += n * wanted
+        host_lab[k[0]] += n * (ruled[k][1] is not None)
+        host_blk[k[0]] += n * (ruled[k][1] == "block")
+    corpus = sum(blk.values()) / max(1, sum(lab.values()))
     out = []
     for i, h, p in seen:
-        rule, verdict = ruled[h, p]
-        tpl = node[h, p]
-        bad = (blk[tpl] + t.prior * rate) / (lab[tpl] + t.prior) >= t.purity
+        (rule, verdict), tpl = ruled[h, p], template[h, p]
+        rate = (host_blk[h] + t.prior * corpus) / (host_lab[h] + t.prior)
+        bad = lab[tpl] >= t.evidence and (blk[tpl] + t.prior * rate) / (lab[tpl] + t.prior) >= t.purity
         out.append((i, h, p, rule, verdict or ("block" if bad else "allow"), tpl))
     return sorted(out, key=str)
 
@@ -100,6 +128,35 @@ def test_pure_templates_are_rejected(spark):
     assert out[52] == "block" and out[200] == "allow" and out[61] == "allow"
 
 
+def test_no_evidence_means_no_block(spark):
+    """With over 0.75 of all labelled URLs blocked, URLs without labels of their own stay."""
+    rules = (("block", "a.net/x/"), ("allow", "b.net/"))
+    rows = [(i, f"http://a.net/x/{i}") for i in range(90)] + [(100 + i, f"http://b.net/{i}") for i in range(10)] + [(200 + i, f"http://c{i}.org/p/{i}") for i in range(30)]
+    rows += [(300, None), (301, "no scheme"), (302, "http://a.net/y/1")] + [(400 + i, f"http://a.net/y/{i}/z") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    out = {r.page_id: r.verdict for r in urls.judge_urls(df, rules).collect()}
+    assert all(out[i] == "allow" for i in out if i >= 200) and got(urls.judge_urls(df, rules)) == slow(rows, rules=rules)
+
+
+def test_trees_of_any_shape(spark):
+    """Deep paths, segments that look like tokens, branches that merge or not, repeats: as the plain recursion has it."""
+    rng = random.Random(2)
+    rules = (("block", "a.net/s/bad"), ("allow", "a.net/s/good"), ("block", "b.net/"))
+    rows = []
+    for i in range(900):
+        host = rng.choice(["a.net", "a.net", "b.net", "c.org"])
+        depth = rng.choice([0, 1, 2, 3, 4, 5, 9, 12])
+        segs = [rng.choice(["s", "bad", "good", "*", "+", ".", "#*"[1:], "n%d" % rng.randrange(4), str(rng.randrange(500)), "é"]) for _ in range(depth)]
+        rows.append((i, f"http://{host}/" + "/".join(segs)))
+    rows += [(2000 + i, "http://d.org/" + "/".join("deep" for _ in range(9)) + f"/{i % 5}") for i in range(20)]
+    rows += [(3000 + i, f"http://e.org/l{i % 6}/{i}.html") for i in range(120)] + [(4000 + i, f"http://e.org/m{i % 2}/x/y/z") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    out = got(urls.judge_urls(df, rules))
+    assert out == slow(rows, rules=rules)
+    by = {i: tpl for i, *_, tpl in out}
+    assert by[3000] == "e.org/#=a9:u:1/#*/#." and len({by[3000 + i] for i in range(120)}) == 1 and by[4000] != by[3000]
+
+
 def test_sums_too_many_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(common, "SMALL_ROWS", 0)
     rows = [(i, f"http://b.net/{'es' if i % 2 else 'q'}/{i}") for i in range(50)] + [(60 + i, "http://b.net/q") for i in range(5)] + [(99, None), (100, "http://c.net/fr/1")]
