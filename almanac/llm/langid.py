@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 from almanac.llm.common import crc32_bucket
 
 UNKNOWN = "und"
+#: Documents of a label in the sample, about, however many labels share it; labels at most.
+FEWEST, MOST_LABELS = 20, 10_000
 
 
 @dataclass(frozen=True)
 class Net:
     """width: units of each direction. window: bytes that the network reads at a time; a text is
-    cut into windows from its begin to its end. labels: the most frequent labels, at most, that are
-    learned. quota: documents of each label in the training sample, about. per_doc: windows taken
+    cut into windows from its begin to its end. sample: documents in the training sample, about, which
+    all labels share. quota: documents of one label, at most. per_doc: windows taken
     from each, evenly over its whole text. batch, steps, rate: of Adam. seed: of weights and batches."""
 
     width: int = 12
     window: int = 64
-    labels: int = 64
+    sample: int = 96_000
     quota: int = 1500
     per_doc: int = 4
     batch: int = 256
@@ -179,17 +181,22 @@ def _windows(p: Net):
 def fit(docs: DataFrame, p: Net = Net()) -> Model | None:
     """docs: (doc_id, text, lang), the rows to learn from. None if no row has a label and a letter.
 
-    The driver gets windows of about quota documents of each label, chosen by a hash of their ids;
-    so it holds labels * quota * per_doc windows at most, whatever the size of docs.
+    Every label is learned: the more there are, the fewer documents each gets, but FEWEST at least. The
+    driver gets windows of about p.sample documents, or FEWEST of each label, chosen by a hash of their
+    ids, whatever the size of docs. A column with more than MOST_LABELS values is none of
+    languages and is refused.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.labels).collect()
+    counts = rows.groupBy("lang").count().limit(MOST_LABELS + 1).collect()
     if not counts:
         return None
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, p.quota / r["count"]))]), F.col("lang"))
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    quota = max(FEWEST, min(p.quota, p.sample // len(counts)))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, quota / r["count"])) for r in counts], "l string, share double")
     u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    some = rows.where(F.col("lang").isin([r["lang"] for r in counts])).where(u < share)
-    got = some.select("lang", F.explode(_windows(p)).alias("w"), F.xxhash64("doc_id", "w").alias("h")).orderBy("h", "w", "lang").limit(p.labels * p.quota * p.per_doc).toPandas()
+    some = rows.join(F.broadcast(shares), F.col("lang") == F.col("l")).where(u < F.col("share"))
+    got = some.select("lang", F.explode(_windows(p)).alias("w"), F.xxhash64("doc_id", "w").alias("h")).orderBy("h", "w", "lang").limit(2 * max(p.sample, FEWEST * len(counts)) * p.per_doc).toPandas()
     labels = sorted(r["lang"] for r in counts)
     x = np.frombuffer(b"".join(bytes(w).ljust(p.window, b"\0") for w in got.w), dtype=np.uint8).reshape(-1, p.window)
     return Model(labels, p).train(x, np.array([len(w) for w in got.w]), np.array([labels.index(v) for v in got.lang]))

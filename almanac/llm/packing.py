@@ -49,6 +49,10 @@ def _byte_letters() -> list[str]:
 SIGNED = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]+)")
 
 
+#: Bytes of a word whose ids are kept; longer ones, such as a text without spaces, are encoded each time.
+LONGEST = 64
+
+
 class _Ids(dict):
     """Ids of words as little-endian unsigned 32-bit bytes, made when first asked for."""
 
@@ -70,7 +74,8 @@ class _Ids(dict):
             else:
                 ids = self.tok.encode(w, add_special_tokens=False).ids
             out = struct.pack(f"<{len(ids)}I", *ids)
-        self[word] = out
+        if len(word) <= LONGEST:
+            self[word] = out
         return out
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import components, drop, materialize, spare
+from almanac.llm.common import components, drop, join_hot, materialize
 
 BITS = 64
 #: Fingerprints, at most, that the driver reads to find correlated bits and candidate counts.
@@ -235,21 +235,13 @@ def near_duplicates(docs: DataFrame, tau: int = 4, key_col: str = "doc_id", text
     an empty result. Other columns are not read.
     """
     own = materialize(docs.select(F.col(key_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
-    classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     root = components(near_links(classes.select("fp"), tau))
-    rooted = classes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = classes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
-    drop(classes)
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialize(rooted.join(ids, "root").select("fp", "component_id"), "component-ids")
-    return own.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, tau: int = 4) -> DataFrame:
-    """The rows of docs with one document of each component: that with the smallest doc_id, once
-    if it repeats. Rows without an id can't be named by one and all stay."""
-    found, name = near_duplicates(docs, tau), spare(docs, "_kept")[0]
-    kept = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct(), "kept-ids")
-    # the ids grow with the documents, so they are never broadcast
-    some = docs.join(kept.hint("merge"), F.col("doc_id") == F.col(name), "left_semi")
-    return some.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    roots = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("of_root")), "roots")
+    # a component may hold most fingerprints, and a fingerprint most documents
+    ids = materialize(join_hot(rooted, roots, ["root"], n="of_root").select("fp", "n", "component_id"), "component-ids")
+    for df in (classes, rooted, roots):
+        drop(df)
+    return join_hot(own, ids, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -32,9 +32,12 @@ class Counter:
     Aho-Corasick automaton gives every piece that ends at a place, the longest first. Of equal
     scores the one with the earliest start, the longest last piece, stays. A character that no piece
     covers alone may stand as unknown; it counts a piece for each of its bytes.
+
+    Counts of `keep` parts of up to `longest` characters are kept; longer ones, such as a text
+    without spaces, are counted each time.
     """
 
-    def __init__(self, vocabulary: list[tuple[str, float]], keep: int = 500_000):
+    def __init__(self, vocabulary: list[tuple[str, float]], keep: int = 500_000, longest: int = 64):
         self.auto = ahocorasick.Automaton()
         self.single: set[str] = set()
         for piece, score in vocabulary:
@@ -44,26 +47,41 @@ class Counter:
                     self.single.add(piece)
         self.auto.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
-        self.keep, self.counts = keep, {}
+        self.keep, self.counts, self.longest, self.reach = keep, {}, longest, max((len(w) for w, _ in vocabulary), default=1)
 
     def part(self, word: str) -> int:
-        n = len(word)
-        best: list[float | None] = [0.0] + [None] * n
-        pieces = [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, match in self.auto.iter(word):
-            ends[end + 1].append(match)
-        for e in range(1, n + 1):
-            for size, score in sorted(ends[e], reverse=True):
-                total = best[e - size] + score
-                if best[e] is None or total > best[e]:
-                    best[e], pieces[e] = total, pieces[e - size] + 1
+        """Pieces of one part. Scores and counts are kept for the last `reach` places alone, as no
+        piece is longer, so memory does not grow with a part that has no space."""
+        reach, single = self.reach + 1, self.single
+        best: list[float | None] = [None] * reach
+        pieces = [0] * reach
+        best[0], done = 0.0, 0
+
+        def step(e: int, matches: list[tuple[int, float]]) -> None:
+            top, n = None, 0
+            for size, score in sorted(matches, reverse=True):
+                total = best[(e - size) % reach] + score
+                if top is None or total > top:
+                    top, n = total, pieces[(e - size) % reach] + 1
             c = word[e - 1]
-            if c not in self.single:
-                total = best[e - 1] + self.unknown
-                if best[e] is None or total > best[e]:
-                    best[e], pieces[e] = total, pieces[e - 1] + len(c.encode("utf-8", "surrogatepass"))
-        return pieces[n]
+            if c not in single:
+                total = best[(e - 1) % reach] + self.unknown
+                if top is None or total > top:
+                    top, n = total, pieces[(e - 1) % reach] + len(c.encode("utf-8", "surrogatepass"))
+            best[e % reach], pieces[e % reach] = top, n
+
+        found: list[tuple[int, float]] = []
+        for end, match in self.auto.iter(word):
+            while done < end:  # places before this match's end are settled, the first by what was found there
+                done += 1
+                step(done, found)
+                found = []
+            found.append(match)
+        while done < len(word):
+            done += 1
+            step(done, found)
+            found = []
+        return pieces[len(word) % reach]
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -77,7 +95,9 @@ class Counter:
             if k is None:
                 if len(counts) > self.keep:
                     counts.clear()
-                k = counts[w] = self.part(MARK + w)
+                k = self.part(MARK + w)
+                if len(w) <= self.longest:
+                    counts[w] = k
             total += k
         return total
 

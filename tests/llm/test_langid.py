@@ -35,6 +35,51 @@ def test_held_out_accuracy(spark):
     assert out.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
 
 
+def plain_probability(m, data):
+    """Mean label probabilities of one text, unit by unit and byte by byte, windows of m.p.window bytes."""
+    h, total = m.p.width, np.zeros(len(m.labels))
+    for at in range(0, len(data), m.p.window):
+        win = data[at : at + m.p.window]
+        padded = win + b"\0" * (m.p.window - len(win))
+        states = {}
+        for d, order in (("f", range(m.p.window)), ("b", range(m.p.window - 1, -1, -1))):
+            e, u, s = m.w[f"E{d}"].astype(float), m.w[f"U{d}"].astype(float), [0.0] * h
+            for t in order:
+                x = padded[t]
+                us = [sum(u[k][i] * s[i] for i in range(h)) for k in range(3 * h)]
+                gate = [min(1.0, max(0.0, e[k][x] + us[k])) for k in range(2 * h)]
+                cand = [np.tanh(e[2 * h + k][x] + gate[h + k] * us[2 * h + k]) for k in range(h)]
+                s = [cand[k] + gate[k] * (s[k] - cand[k]) for k in range(h)]
+                states[d, t] = s
+        for t in range(len(win)):
+            logit = [m.w["c"][k, 0] + sum(m.w["Vf"][k][i] * states["f", t][i] + m.w["Vb"][k][i] * states["b", t][i] for i in range(h)) for k in range(len(m.labels))]
+            p = np.exp(np.array(logit) - max(logit))
+            total += p / p.sum()
+    return total / max(1, len(data))
+
+
+def test_predictions_agree_with_a_plain_forward_pass(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    p = langid.Net(steps=120)
+    model = langid.fit(docs.where(~langid.held_out()), p)
+    out = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    some = sorted(i for i in texts if texts[i] and len(texts[i]) < 900)[:12]
+    for i in some:
+        want = plain_probability(model, texts[i].encode())
+        assert out[i].lang_pred == model.labels[int(want.argmax())] and abs(out[i].score - want.max()) < 1e-3
+    assert len(some) == 12
+
+
+def test_rare_labels_are_learned(spark):
+    """More labels than a sample of the most frequent would hold: every one can be predicted."""
+    rows = [(k * 100 + i, " ".join([chr(0x400 + 2 * k) * 3 + chr(0x401 + 2 * k)] * 12), f"l{k:02}") for k in range(70) for i in range(8 if k else 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, langid.Net(sample=1400, steps=60))
+    assert model.labels == sorted({r[2] for r in rows})
+
+
 def test_odd_tables(spark):
     rows = [(i, "the and of " * 9, "en", None) for i in range(40)] + [(100 + i, "der die das ü " * 9, "de", 1) for i in range(40)] + [(200, None, "en", 1), (201, "", None, 1), (202, "12 %%", "de", 1), (None, "ß", None, 1), (203, "the of and " * 40000, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")

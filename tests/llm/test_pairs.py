@@ -60,11 +60,31 @@ def test_odd_texts(spark):
     assert got(simhash.near_duplicates(df)) == expect(rows)
     twice = df.union(df)
     assert got(simhash.near_duplicates(twice)) == sorted(expect(rows) * 2)
-    assert sorted(r.doc_id for r in simhash.keep_one(twice).collect()) == [1, 3, 7, 8, 9]
-    assert simhash.keep_one(df).columns == df.columns
     assert simhash.near_duplicates(df.where("false")).collect() == []
 
 
+def test_a_hot_fingerprint_component_and_hub(spark):
+    """A third of all rows with one text, a hub with most edges, null ids: the same as brute force, through the joins for hot keys."""
+    rng = random.Random(4)
+    rows = [(i, "one text that most rows have in common here" if i % 3 else " ".join(rng.choice("abcdefgh") * 3 for _ in range(9))) for i in range(900)]
+    assert got(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == expect(rows)
+    out = simhash.near_duplicates(spark.createDataFrame([(None, "x y z"), (3, "X y z"), (None, "q")], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in out if r.component_id is not None) == [("3", 3), ("None", 3)] and len(out) == 3
+    edges = [(0, i) for i in range(1, 700)] + [(i, i + 1) for i in range(1000, 1030)]
+    found = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(1, 700)}, **{i: 1000 for i in range(1001, 1031)}}
+
+
+def test_joins_for_hot_keys_are_joins(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, rng.randrange(2000), None]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, v int")
+    table = common.materialize(df.where("k % 5 <> 2").groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s")), "t")
+    for how in ("inner", "left"):
+        want = df.join(table.drop("n"), ["k"], how)
+        assert sorted(map(str, common.join_hot(df, table, ["k"], how).collect())) == sorted(map(str, want.collect()))
+
+
 def test_near_links_keep_all_connections(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 64)  # so that dense keys go in pairs of blocks
     rng = random.Random(1)

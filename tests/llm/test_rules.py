@@ -2,6 +2,9 @@
 
 import random
 import re
+from collections import defaultdict
+
+import numpy as np
 
 from almanac.llm import queries, rules
 
@@ -18,6 +21,77 @@ def slow_stats(text):
     return len(ws), sum(map(len, ws)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
+def slow_quantile(x, share, value, fine):
+    """The middle of the first bin at which `share` of the values is reached."""
+    b = np.sort(np.floor(fine(x)))
+    return value(b[int(np.ceil(share * len(b) - 1e-9)) - 1] + 0.5)
+
+
+def slow_factor(cov, floors):
+    c = np.linalg.cholesky(cov + np.diag(np.square(floors)))
+    return c, 2 * np.log(np.diag(c)).sum()
+
+
+def slow_distance(x, m, factor):
+    return (np.linalg.solve(factor, (x - m).T) ** 2).sum(axis=0)
+
+
+def slow_estimate(x, r):
+    """(location, factor, scale) of one group's rows, straight from the definition."""
+    log, back = (lambda v: np.log1p(v) * rules.FINE), (lambda b: np.expm1(b / rules.FINE))
+    cut = np.array([[slow_quantile(x[:, i], s, back, log) for s in (0.1, 0.25, 0.5, 0.75, 0.9)] for i in range(5)])
+    y = x - cut[:, 2]
+    inside = ((x >= cut[:, 0] - 1e-9) & (x <= cut[:, 4] + 1e-9)).all(axis=1)
+    starts = [(np.zeros(5), np.diag(((cut[:, 3] - cut[:, 1]) / 1.349) ** 2))] + [(v.mean(axis=0), np.cov(v.T, bias=True)) for v in (y, y[inside]) if len(v)]
+    bin_of = lambda d: np.floor(np.log2(np.maximum(d, rules.LEAST_D2)) * rules.FINE_D2)
+    found = []
+    for m, c in starts:
+        m, f, best = m, slow_factor(c, r.floors)[0], np.inf
+        for _ in range(r.steps):
+            b = bin_of(slow_distance(y, m, f))
+            before = np.searchsorted(np.sort(b), b)
+            near = y[before < r.coverage * len(y)]
+            m2 = near.mean(axis=0)
+            f2, det = slow_factor(np.cov(near.T, bias=True).reshape(5, 5), r.floors)
+            if det >= best - rules.FALL:
+                break
+            m, f, best = m2, f2, det
+        found.append((best, m, f))
+    _, m, f = min(found, key=lambda e: e[0])
+    half = slow_quantile(slow_distance(y, m, f), 0.5, lambda b: 2 ** (b / rules.FINE_D2), lambda d: np.log2(np.maximum(d, rules.LEAST_D2)) * rules.FINE_D2)
+    return m + cut[:, 2], f, max(half / rules.CHI2_MEDIAN_5, 1.0)
+
+
+def slow_kept(docs, r=rules.Robust()):
+    """{doc_id: (kept, distance)} of rows (doc_id, text, lang, source)."""
+    good, where = defaultdict(list), {}
+    for i, t, lang, source in docs:
+        n, chars, symbols, dup, rep = slow_stats(t)
+        if n >= 50 and 100 * rep <= 50 * n:
+            where[i] = lang, source, (np.log1p(n), chars / n, np.sqrt(symbols / max(1, chars)), np.sqrt(min(1, dup * 10 / n)), np.sqrt(rep / n))
+            good[lang, source].append(i)
+    small = defaultdict(int)
+    for (lang, _), ids in good.items():
+        small[lang] += len(ids) if len(ids) < r.least else 0
+    group = {i: (lang, source) if len(good[lang, source]) >= r.least else (lang,) if small[lang] >= r.least else () for i, (lang, source, _) in where.items()}
+    estimate = {g: slow_estimate(np.array([where[i][2] for i in where if group[i] == g]), r) for g in set(group.values())}
+    out = {i: (False, None) for i, *_ in docs}
+    for i, (*_, x) in where.items():
+        m, f, scale = estimate[group[i]]
+        d = float(slow_distance(np.array([x]), m, f)[0] / scale)
+        out[i] = d <= r.cutoff, d
+    return out
+
+
+def test_verdicts_of_whole_table(spark):
+    d = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    want, got = slow_kept(docs), {r.doc_id: (r.kept, r.distance) for r in queries.op6_quality_rules(spark, d).collect()}
+    assert sum(not k and x is not None for k, x in want.values()) > 20
+    for i, (kept, distance) in want.items():
+        assert got[i][0] == kept and (distance is None) == (got[i][1] is None) and (distance is None or abs(got[i][1] - distance) <= 1e-6 * max(1, distance)), i
+
+
 def test_statistics_of_whole_table(spark):
     d = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
