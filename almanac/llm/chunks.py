@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import drop, materialize, spare
+from almanac.llm.common import bounded_batches, drop, join_hot, materialize, spare
 
 #: One random number for each byte value, made by a rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], dtype=np.uint32)
@@ -108,23 +108,25 @@ def repeated_chunks(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     null ids last, then by whole, the digest of the whole text; rows equal in both are one document.
 
     Chunks are written once. A digest's count and smallest id come from sums that tasks make
-    before they shuffle; then the chunks meet the digests of several documents in a join that
-    Spark splits where a digest is very frequent. Where several documents have the smallest id,
+    before they shuffle; then the chunks meet the digests of several documents by join_hot(), so that
+    a very frequent one gathers in no task. Where several documents have the smallest id,
     or all have none, the smallest whole among them is found in the same way.
     """
+    bounded_batches(docs.sparkSession)
     text = F.col(text_col)
     rows = docs.select(F.col(key_col).cast("long").alias("doc_id"), whole_digest(text).alias("whole"), text.alias("text"))
     chunks = materialize(rows.mapInArrow(_chunk_rows, "doc_id long, whole long, start int, end int, digest long, again boolean"), "chunks")
-    several = chunks.where("NOT again").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").select("digest", "first_id").hint("merge")
-    met = materialize(chunks.where("NOT again").join(several, "digest").select("doc_id", "whole", "start", "end", "digest", "first_id"), "met")
+    several = chunks.where("NOT again").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    several = materialize(several, "several")
+    met = materialize(join_hot(chunks.where("NOT again"), several, ["digest"]).select("doc_id", "whole", "start", "end", "digest", "first_id"), "met")
     across = met.where("NOT (doc_id <=> first_id)").select("doc_id", "whole", "start", "end", "first_id")
     least = met.where("doc_id <=> first_id")
     tied = least.groupBy("digest").agg(F.min("whole").alias("w"), F.max("whole").alias("v")).where("w < v").select("digest", "w").hint("merge")
     ties = least.join(tied, "digest").where("whole > w").select("doc_id", "whole", "start", "end", "first_id")
     within = chunks.where("again").select("doc_id", "whole", "start", "end", F.col("doc_id").alias("first_id"))
     out = materialize(across.unionByName(ties).unionByName(within), "repeated")
-    drop(chunks)
-    drop(met)
+    for df in (chunks, several, met):
+        drop(df)
     return out
 
 
