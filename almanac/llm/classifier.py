@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import crc32_bucket, materialize
+from almanac.llm.common import bounded_batches, crc32_bucket, materialize
 
 
 @dataclass(frozen=True)
@@ -180,6 +180,7 @@ def classify(docs: DataFrame, labels: DataFrame, p: Boost = Boost()) -> DataFram
     Documents with several labels count once for each. Without labels every score is 0.5. Rows
     that repeat get equal scores. An empty table gives an empty result. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     stats = materialize(docs.select(F.col("doc_id"), document_statistics(F.col("text")).alias("x")), "statistics")
     trees = fit(stats, labels, p)
 

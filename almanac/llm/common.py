@@ -59,6 +59,19 @@ def _quiet_drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bounds of a batch of rows that Spark hands to Python at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python workers hold, by rows and bytes, for this session; Spark's own bound
+    is 10,000 rows, however long. Smaller settings of the session stay."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= int(most):
+            spark.conf.set(key, most)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)

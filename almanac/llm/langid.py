@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import crc32_bucket
+from almanac.llm.common import bounded_batches, crc32_bucket
 
 UNKNOWN = "und"
 #: Documents of a label in the sample, about, however many labels share it; labels at most.
@@ -238,5 +238,6 @@ def held_out() -> Column:
 
 def language_id(docs: DataFrame, p: Net = Net()) -> DataFrame:
     """Learns from the rows that are not held out and labels every row: doc_id, held_out, lang_pred, score."""
+    bounded_batches(docs.sparkSession)
     learn = docs.select("doc_id", "text", "lang").where(~held_out())
     return identify(docs, fit(learn, p)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almanac.llm.common import bounded_batches
+
 
 @dataclass(frozen=True)
 class Pack:
@@ -254,5 +256,6 @@ def pack(docs: DataFrame, path: str, p: Pack = Pack(), key_col: str = "doc_id",
     repeat are packed each; null ids are allowed. Equal costs go to the longer window. An empty
     table gives an empty result. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_packer(path, p), SCHEMA)

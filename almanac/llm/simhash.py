@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import components, drop, join_hot, materialize
+from almanac.llm.common import bounded_batches, components, drop, join_hot, materialize
 
 BITS = 64
 #: Fingerprints, at most, that the driver reads to find correlated bits and candidate counts.
@@ -234,6 +234,7 @@ def near_duplicates(docs: DataFrame, tau: int = 4, key_col: str = "doc_id", text
     are never the smallest; a component with no id has a null component_id. An empty table gives
     an empty result. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     own = materialize(docs.select(F.col(key_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
     classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     root = components(near_links(classes.select("fp"), tau))

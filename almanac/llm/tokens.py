@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.llm.common import bounded_batches
+
 #: What a space and the begin of a text become.
 MARK = "▁"
 #: An unknown character scores this much less than the worst piece.
@@ -124,4 +126,5 @@ def token_counts(docs: DataFrame, path: str, key_col: str = "doc_id", text_col:
     Null and empty texts have none. Rows that repeat get equal counts. An empty table gives an
     empty result. Other columns are not read. Nothing is shuffled.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key_col).alias("doc_id"), count_tokens(F.col(text_col), path).alias("n_tokens"))

@@ -74,7 +74,7 @@ def test_predictions_agree_with_a_plain_forward_pass(spark):
 
 def test_rare_labels_are_learned(spark):
     """More labels than a sample of the most frequent would hold: every one can be predicted."""
-    rows = [(k * 100 + i, " ".join([chr(0x400 + 2 * k) * 3 + chr(0x401 + 2 * k)] * 12), f"l{k:02}") for k in range(70) for i in range(8 if k else 400)]
+    rows = [(k * 100 + i, " ".join([chr(0x4E00 + 2 * k) * 3 + chr(0x4E01 + 2 * k)] * 12), f"l{k:02}") for k in range(70) for i in range(8 if k else 400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df, langid.Net(sample=1400, steps=60))
     assert model.labels == sorted({r[2] for r in rows})
