@@ -156,15 +156,16 @@ HOT = 256
 
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", n: str = "n") -> DataFrame:
     """rows joined, inner or left, with a written table that has one row for each key and in column n how many
-    of rows have it. The fewer than HOT hot keys are broadcast, so that their rows stay where they
-    are; all others meet by a shuffle, in which no key is large. n is dropped."""
+    of rows have it. Hot keys, fewer than HOT, are told apart by a hash and broadcast, so that their
+    rows stay where they are; all others meet by a shuffle, in which no key is large. n is dropped."""
     total, most = table.agg(F.sum(n), F.max(n)).first()
     edge = max(1, (total or 0) / HOT)
     if (most or 0) <= edge:
         return rows.join(table.drop(n).hint("merge"), keys, how)
-    hot, rest = F.broadcast(table.where(F.col(n) > edge).drop(n)), table.where(F.col(n) <= edge).drop(n).hint("merge")
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(others.join(rest, keys, how))
+    name = F.xxhash64(*keys)
+    hot = name.isin([r[0] for r in table.where(F.col(n) > edge).select(name).collect()])
+    apart = rows.where(hot).join(F.broadcast(table.where(hot).drop(n)), keys, how)
+    return apart.unionByName(rows.where(~hot).join(table.where(~hot).drop(n).hint("merge"), keys, how))
 
 
 #: Tables of up to so many rows, of a few numbers each, are broadcast; they are counted first.
