@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,37 +9,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from almanac.functions.links import host, host_and_path
-from almanac.functions.text import LETTER, clean, words
-from almanac.settings import EVENT_TYPES, FUNERAL_PREFIXES, FUNERAL_WORDS, KEYWORD_SUBSTRING, TOPICS, VENUES
+from almanac.functions.text import clean, words
+from almanac.settings import EVENT_TYPES, FUNERAL_PREFIXES, FUNERAL_WORDS, KEYWORD_SUBSTRING, ONLINE_WORDS, REGIONS, TOPICS, VENUES
 
 Labels = Sequence[tuple[str, Sequence[str]]]
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _first_hit(labels: Labels, hits) -> Column:
+    """The label of the first keyword, in order of labels, that hits(keyword) finds; null if none."""
+    keys = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(w).alias("word"), F.lit(len(w) < KEYWORD_SUBSTRING and " " not in w).alias("short")) for label, words_ in labels for w in words_])
+    return F.get(F.filter(keys, hits), F.lit(0))["label"]
+
+
 def event_type(title: Column, types: Labels = EVENT_TYPES) -> Column:
     """The first label with a keyword in the title; null if none. Keywords of six letters or more and
     those with a blank match anywhere, shorter ones a whole word."""
-    cleaned = clean(title)
-    ws = words(cleaned)
-    out = F.lit(None).cast("string")
-    for label, keys in reversed(types):
-        hit = F.lit(False)
-        for k in keys:
-            hit = hit | (F.contains(cleaned, F.lit(k)) if len(k) >= KEYWORD_SUBSTRING or " " in k else F.array_contains(ws, k))
-        out = F.when(hit, label).otherwise(out)
-    return out
+    return _let(clean(title), lambda t: _let(words(t), lambda ws: _first_hit(types, lambda k: F.when(k["short"], F.array_contains(ws, k["word"])).otherwise(F.contains(t, k["word"])))))
 
 
 def first_label(cleaned: Column, labels: Labels) -> Column:
-    out = F.lit(None).cast("string")
-    for label, keys in reversed(labels):
-        hit = F.lit(False)
-        for k in keys:
-            hit = hit | F.contains(cleaned, F.lit(k))
-        out = F.when(hit, label).otherwise(out)
-    return out
+    return _let(cleaned, lambda t: _first_hit(labels, lambda k: F.contains(t, k["word"])))
 
 
-def event_region(location: Column, url: Column, regions: Labels, online: Sequence[str] = ("online", "bundesweit")) -> Column:
+def event_region(location: Column, url: Column, regions: Labels = REGIONS, online: Sequence[str] = ONLINE_WORDS) -> Column:
     """`online`, else the first region named in the place, else in the URL's host, else `sonstige`."""
     place = clean(location)
     far = F.lit(False)
@@ -57,13 +53,9 @@ def event_tags(region: Column, kind: Column, date_end: Column) -> Column:
     return F.array_compact(F.array(F.concat(F.lit("region-"), region), F.concat(F.lit("art-"), kind), F.when(date_end.isNotNull(), "laufend")))
 
 
-def stem_pattern(stems: Sequence[str]) -> str:
-    """Java pattern of word stems: ^ and $ are a word's begin and end, _ is white space."""
-    def one(s: str) -> str:
-        body = re.escape(s.strip("^$")).replace("_", r"\s+")
-        return (r"\b" if s[0] == "^" else "") + body + (r"\b" if s[-1] == "$" else "")
-
-    return "(?iuU)(?:" + "|".join(map(one, stems)) + ")"
+def any_of(patterns: Sequence[str]) -> str:
+    """Java pattern of any of these, in any case of letters."""
+    return "(?iuU)(?:" + "|".join(patterns) + ")"
 
 
 def funeral_pattern(prefixes: Sequence[str] = FUNERAL_PREFIXES, kinds: Sequence[str] = FUNERAL_WORDS) -> str:
@@ -77,8 +69,8 @@ class TopicRules:
     """Java patterns of private events, of venues and of topics."""
 
     private: str = funeral_pattern()
-    venue: str = stem_pattern(VENUES)
-    topic: str = stem_pattern(TOPICS)
+    venue: str = any_of(VENUES)
+    topic: str = any_of(TOPICS)
 
 
 def topic_reason(title: Column, description: Column, location: Column, url: Column, rules: TopicRules = TopicRules()) -> Column:
@@ -92,5 +84,3 @@ def topic_reason(title: Column, description: Column, location: Column, url: Colu
         out = F.when(F.rlike(col, F.lit(pattern)), verdict(True, F.concat(F.lit(name + ": "), F.regexp_extract(col, pattern, 0)))).otherwise(out)
     return F.when(F.rlike(title, F.lit(rules.private)), verdict(False, F.lit("einzelne Bestattung, keine oeffentliche Veranstaltung"))).otherwise(out)
 
-
-__all__ = ["LETTER", "TopicRules", "event_kind", "event_region", "event_tags", "event_type", "first_label", "funeral_pattern", "stem_pattern", "topic_reason"]

@@ -34,15 +34,26 @@ def safe_link(url: Column) -> Column:
     return F.when(F.rlike(url, F.lit("^https?://")), url).otherwise("#")
 
 
+# Classes of fetch errors, and what a failed connection's message says of names and of encryption.
+TIMEOUTS = ("ConnectTimeout", "ReadTimeout", "PoolTimeout")
+NO_NAME = ("Name or service not known", "nodename nor servname")
+
+
 def error_kind(error_class: Column, message: Column, status: Column) -> Column:
-    """A group of fetch errors, from the class, message and status that the fetch left."""
-    low, c = F.lower(F.coalesce(message, F.lit(""))), F.coalesce(error_class, F.lit(""))
+    """A group of fetch errors, from the class, message and status that the fetch left: the status,
+    then timeouts, then what a failed connection's message tells, then protocol errors; else the class."""
+    said, c = F.coalesce(message, F.lit("")), F.coalesce(error_class, F.lit(""))
+    named = F.lit(False)
+    for part in NO_NAME:
+        named = named | F.contains(said, F.lit(part))
+    sealed = F.contains(said, F.lit("SSL")) | F.contains(F.upper(said), F.lit("HANDSHAKE"))
+    failed = c == "ConnectError"
     return (
         F.when(status.isNotNull(), F.concat(F.lit("HTTP "), status.cast("string")))
-        .when(F.contains(c, F.lit("Timeout")), "Timeout")
-        .when(F.contains(low, F.lit("name or service")) | F.contains(low, F.lit("nodename")) | F.contains(low, F.lit("getaddrinfo")), "DNS unbekannt")
-        .when(F.contains(low, F.lit("ssl")) | F.contains(low, F.lit("tls")) | F.contains(low, F.lit("certificate")), "TLS-Handshake")
-        .when(c == "ConnectError", "Verbindung fehlgeschlagen")
-        .when(F.contains(c, F.lit("ProtocolError")), "Protokollfehler")
+        .when(c.isin(*TIMEOUTS), "Timeout")
+        .when(failed & named, "DNS unbekannt")
+        .when(failed & sealed, "TLS-Handshake")
+        .when(failed, "Verbindung fehlgeschlagen")
+        .when(c == "RemoteProtocolError", "Protokollfehler")
         .otherwise(c)
     )

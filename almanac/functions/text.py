@@ -56,11 +56,18 @@ def strip(s: Column) -> Column:
 
 def clean(s: Column) -> Column:
     """The form in which texts are compared: lower case, signs and runs of white space as one
-    blank. Null becomes empty. Entities are not decoded here."""
+    blank. Null becomes empty. For texts whose entities are decoded: a row filter, which keeps the others
+    out of Python, must do that before (decode_entities, resolve.normalize)."""
     low = F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), SIGN_CLASS, " ")
     return strip(F.regexp_replace(low, r"(?U)\s+", " "))
 
 
+def with_clean(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with new columns {new: old}: the form for comparison of old, its entities decoded first."""
+    copies = df.withColumns({new: F.col(old) for new, old in columns.items()})
+    return decode_entities(copies, list(columns)).withColumns({new: clean(F.col(new)) for new in columns})
+
+
 def stem(word: Column) -> Column:
     """A word of six letters or more without its last en, er, es, n, s or e."""
     short = F.length(word) < 6

@@ -97,7 +97,7 @@ def cap_hits(text: Column, most: int = MAX_HITS_PER_PAGE, pattern: str = DATES)
 def condense(df: DataFrame, text_col: str = "text", limit: int = TEXT_LIMIT, most: int = MAX_HITS_PER_PAGE, pattern: str = DATES, before: int = SNIPPET_BEFORE, after: int = SNIPPET_AFTER) -> DataFrame:
     """df with text_col condensed and hits added. Longer texts keep the passages around matches:
     windows that touch merge, and windows are taken from the first on while they fit and matches
-    are few; without a match, or if the first does not fit, the text's begin stays."""
+    are few. If the first does not fit, its begin stays up to the limit; without a match the text's."""
     t = F.col("_t")
     size = F.length(t)
     spans = F.transform(match_spans(t, pattern), lambda m: F.struct(F.greatest(m["s"] - before, F.lit(0)).alias("s"), F.least(m["e"] + after, size).alias("e")))
@@ -120,7 +120,7 @@ def condense(df: DataFrame, text_col: str = "text", limit: int = TEXT_LIMIT, mos
     merged = F.aggregate(spans, none, merge)
     rows = rows.withColumn("_w", F.when(size > limit, merged))
     chunks = F.aggregate("_w", start, take, lambda a: a["out"])
-    rows = rows.withColumn("_c", F.when(size <= limit, t).when(F.size(chunks) > 0, F.array_join(chunks, GAP)).otherwise(F.left(t, F.lit(limit))))
+    rows = rows.withColumn("_c", F.when(size <= limit, t).when(F.size(chunks) > 0, F.array_join(chunks, GAP)).otherwise(F.substring(t, F.coalesce(F.get("_w", F.lit(0))["s"], F.lit(0)) + 1, F.lit(limit))))
     capped = rows.withColumn("_h", cap_hits(F.col("_c"), most, pattern))
     hits = F.when((size > limit) & (F.size("_w") == 0), 0).otherwise(F.col("_h.hits"))
     return capped.withColumns({text_col: F.col("_h.text"), "hits": hits}).drop("_t", "_w", "_c", "_h")

@@ -5,17 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.functions.classify import TopicRules, topic_reason
+from almanac.functions.classify import Labels, TopicRules, event_kind, event_region, topic_reason
 from almanac.functions.dates import effective_end, parse_date, period
 from almanac.functions.text import decode_entities, strip, strip_fence
-from almanac.operators import budget, present, resolve
+from almanac.operators import budget, present, resolve, tables
 from almanac.operators.prepare import condense, html_to_text, reject_reason
-from almanac.schemas import EVENT_COLUMNS, EVENTS, REPLY
-
-ORIGINS = ("manuell", "feed", "api")
+from almanac.schemas import EVENT_COLUMNS, REPLY
+from almanac.settings import EVENT_TYPES, REGIONS
+from almanac.sources.store import read_store, write_rejects, write_store
 
 
 @dataclass
@@ -61,24 +61,49 @@ def reject_log(judged: DataFrame) -> DataFrame:
     return judged.where("verdict = 'thema_verfehlt'").select(F.when(private, F.lit("[privat]")).otherwise(F.col("title")).alias("title"), "date_start", "location", "url", F.col("reason").alias("_grund"), F.col("origin").alias("_herkunft"))
 
 
-def run(store: DataFrame, incoming: DataFrame, today: date, rules: TopicRules = TopicRules()) -> Result:
+COUNTERS = ("neu", "aktualisiert", "datum_ungueltig", "vergangen", "thema_verfehlt", "zusammengefuehrt", "entfernt", "manuell_abgelaufen")
+
+
+def run(store: DataFrame, incoming: DataFrame, today: date, rules: TopicRules = TopicRules(), types: Labels = EVENT_TYPES) -> Result:
     """incoming: events with texts as dates, origin and ordinal, in the order manual, feed, api.
 
-    Purge of private events and dedup of the store, filters, upsert, dedup again, expiry.
+    Purge of private events and dedup of the store, filters, upsert, dedup again, expiry. Hand-kept
+    events that are over are counted by themselves, as they stay in their list.
     """
-    kept = resolve.deduplicate(store.where(~F.rlike(F.coalesce("title", F.lit("")), F.lit(rules.private))))
-    judged = judge(incoming, today, rules)
-    good = judged.where("verdict = 'ok'").withColumns({"id": F.lit(None).cast("string"), "first_seen": F.lit(None).cast("date"), "last_seen": F.lit(None).cast("date")})
+    kept = resolve.deduplicate(store.where(~F.rlike(F.coalesce("title", F.lit("")), F.lit(rules.private))), types)
+    over = (F.col("origin") == "manuell") & (F.coalesce(parse_date(F.col("date_end")), parse_date(F.col("date_start"))) < F.lit(today))
+    judged = tables.materialize(judge(incoming.withColumn("over", F.coalesce(over, F.lit(False))), today, rules), "judged")
+    good = judged.where("verdict = 'ok' AND NOT over").withColumns({"id": F.lit(None).cast("string"), "first_seen": F.lit(None).cast("date"), "last_seen": F.lit(None).cast("date")})
     top = kept.agg(F.coalesce(F.max("ordinal"), F.lit(-1)) + 1).first()[0]
-    folded = resolve.upsert(kept, good.withColumn("ordinal", F.col("ordinal") + top).select(*EVENT_COLUMNS), today)
-    final = resolve.deduplicate(folded.select(*EVENT_COLUMNS))
+    folded = tables.materialize(resolve.upsert(kept, good.withColumn("ordinal", F.col("ordinal") + top).select(*EVENT_COLUMNS), today, types), "upserted")
+    final = resolve.deduplicate(folded.select(*EVENT_COLUMNS), types)
     left = present.current(final, today)
-    counts = judged.agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("datum_ungueltig", "vergangen", "thema_verfehlt")])
+    counts = judged.agg(*[F.count_if((F.col("verdict") == v) & ~F.col("over")).alias(v) for v in ("datum_ungueltig", "vergangen", "thema_verfehlt")], F.count_if("over").alias("manuell_abgelaufen"))
     done = folded.agg(F.coalesce(F.sum("n_new"), F.lit(0)).alias("neu"), F.coalesce(F.sum("n_updated"), F.lit(0)).alias("aktualisiert"), F.count(F.lit(1)).alias("_n"))
     end = final.agg(F.count(F.lit(1)).alias("_m"), F.count_if(effective_end() < F.lit(today)).alias("entfernt"))
     # three tables of one row each
-    stats = done.join(counts, F.lit(True)).join(end, F.lit(True)).withColumn("zusammengefuehrt", F.col("_n") - F.col("_m")).drop("_n", "_m")
-    return Result(left, reject_log(judged), stats)
+    stats = done.join(counts, F.lit(True)).join(end, F.lit(True)).withColumn("zusammengefuehrt", F.col("_n") - F.col("_m")).select(*COUNTERS)
+    return Result(left, reject_log(judged.where("NOT over")), stats)
+
+
+def publish(result: Result, root: str, today: date, regions: Labels = REGIONS, types: Labels = EVENT_TYPES, dry_run: bool = False) -> None:
+    """Writes the reject log, and, unless it is a dry run, a new version of the store and the page, below root.
+    A staging run is one with a root of its own and an empty store."""
+    write_rejects(result.rejects, f"{root}/rejects")
+    if not dry_run:
+        write_store(result.store, f"{root}/store")
+        render(result.store.sparkSession, root, today, regions, types)
+
+
+def render(spark: SparkSession, root: str, today: date, regions: Labels = REGIONS, types: Labels = EVENT_TYPES) -> bool:
+    """Writes the page anew from the store below root, which it leaves alone; False if there is nothing to show."""
+    store = read_store(spark, f"{root}/store")
+    if store.isEmpty():
+        return False
+    present.write_page(tagged(store, regions, types), today, f"{root}/page")
+    return True
 
 
-__all__ = ["EVENTS", "ORIGINS", "Result", "batches", "judge", "prepare_pages", "read_replies", "reject_log", "run"]
+def tagged(events: DataFrame, regions: Labels = REGIONS, types: Labels = EVENT_TYPES) -> DataFrame:
+    """events with the region and kind that filters and the page use."""
+    return events.withColumns({"region": event_region(F.col("location"), F.col("url"), regions), "kind": event_kind(F.col("title"), F.col("description"), types)})

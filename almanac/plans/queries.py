@@ -1,6 +1,7 @@
 """The registered queries of the event operators over the driver's tables, with SQL where it can say them.
 
-`listing` gives documents the shape of events; keyword lists fit these tables' invented words.
+`listing` gives documents the shape of events: the first line is the title, the rest the description.
+Keyword lists fit these tables' invented words; the default ones are tried on texts made of their words.
 """
 
 from __future__ import annotations
@@ -12,7 +13,11 @@ from pyspark.sql import functions as F
 
 from almanac.functions import classify, dates, links, text
 from almanac.operators import budget, prepare, present, resolve
-from almanac.sources.store import problem_report
+from almanac.plans import pipeline
+from almanac.settings import EVENT_TYPES, REGION_LABELS, TOPICS, TYPE_LABELS, VENUES
+from almanac.settings import REGIONS as REGIONS_ALL
+from almanac.sources import calendars
+from almanac.sources.store import active_sources, problem_report
 
 TODAY = date(2024, 1, 15)
 TYPES = (("ding", ("thing", "tion")), ("heit", ("heit", "keit")), ("kurz", ("the", "der", "la")))
@@ -31,7 +36,8 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
     n = F.length(line)
     return docs.select(
         F.col("doc_id").alias("ordinal"),
-        F.trim(F.substring(line, 1, 60)).alias("title"),
+        F.trim(line).alias("title"),
+        F.substring("text", n + 2, F.length("text")).alias("description"),
         F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("Platz "), "source")).alias("location"),
         F.date_add(F.lit(date(2024, 1, 1)), n % 30).alias("date_start"),
         F.when(n % 5 == 0, F.date_add(F.lit(date(2024, 2, 1)), n % 7)).alias("date_end"),
@@ -40,7 +46,7 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 LISTING = """listing AS (
-  SELECT doc_id AS ordinal, trim(substr(split_part(text, chr(10), 1), 1, 60)) AS title,
+  SELECT doc_id AS ordinal, trim(split_part(text, chr(10), 1)) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS description,
     CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'Platz ' || source END AS location,
     CAST(DATE '2024-01-01' + CAST(length(split_part(text, chr(10), 1)) % 30 AS INT) AS DATE) AS date_start,
     CASE WHEN length(split_part(text, chr(10), 1)) % 5 = 0 THEN CAST(DATE '2024-02-01' + CAST(length(split_part(text, chr(10), 1)) % 7 AS INT) AS DATE) END AS date_end,
@@ -70,13 +76,17 @@ def sql_type(c: str, types=TYPES) -> str:
 SQL_HOST = r"lower(regexp_extract(coalesce(url, ''), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1))"
 
 
-def sql_region() -> str:
+def sql_region(regions=REGIONS) -> str:
     def cases(c):
-        return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({c}, '{k}')" for k in keys) + f" THEN '{label}'" for label, keys in REGIONS) + " END"
+        return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({c}, '{k}')" for k in keys) + f" THEN '{label}'" for label, keys in regions) + " END"
 
     return f"coalesce({cases(sql_clean('location'))}, {cases(sql_clean(SQL_HOST))}, 'sonstige')"
 
 
+def sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -159,10 +169,10 @@ def gate(spark, d):
     return table(spark, d, "documents").select("doc_id", prepare.reject_reason(F.col("text"), NUMBERS).alias("reason"))
 
 
-@query(rf"SELECT CASE WHEN length(text) < 350 THEN 'zu kurz' WHEN NOT regexp_matches(text, '{NUMBERS}') THEN 'kein Datum' END AS kind, count(*) AS n FROM documents WHERE length(text) < 350 OR NOT regexp_matches(text, '{NUMBERS}') GROUP BY ROLLUP (1)")
+@query(rf"SELECT CASE WHEN length(text) < 350 THEN 'zu kurz' WHEN NOT regexp_matches(text, '{NUMBERS}') THEN 'kein Datum' END AS kind, count(*) AS n, array_to_string(list_sort(list(source)), ' ') AS urls FROM documents WHERE length(text) < 350 OR NOT regexp_matches(text, '{NUMBERS}') GROUP BY ROLLUP (1)")
 def problems_by_kind(spark, d):
     bad = table(spark, d, "documents").select(prepare.reject_reason(F.col("text"), NUMBERS).alias("kind"), F.col("source").alias("url")).where("kind IS NOT NULL")
-    return problem_report(bad).select("kind", "n")
+    return problem_report(bad).select("kind", "n", F.array_join("urls", " ").alias("urls"))
 
 
 @query()
@@ -176,19 +186,23 @@ def pages_as_text(spark, d):
     return table(spark, d, "pages").select("page_id", prepare.html_to_text("html").alias("text"))
 
 
-@query(
-    rf"""WITH {LISTING}, v AS (SELECT *, lower({SQL_HOST} || '/' || split_part(url, '/', 4)) AS place FROM listing)
-SELECT ordinal, relevant, reason FROM (SELECT ordinal, NOT regexp_matches(title, '^The [A-Za-z]+ [a-z]') AND (regexp_matches(place, '(?i)src1[0-9]|platz src2') OR regexp_matches(location, '(?i)src1[0-9]|platz src2') OR regexp_matches(title, '(?i)ation|keit|ment') OR regexp_matches(location, '(?i)ation|keit|ment')) AS relevant,
-  CASE WHEN regexp_matches(title, '^The [A-Za-z]+ [a-z]') THEN 'einzelne Bestattung, keine oeffentliche Veranstaltung'
-   WHEN regexp_matches(place, '(?i)src1[0-9]|platz src2') THEN 'Quelle: ' || regexp_extract(place, '(?i)src1[0-9]|platz src2')
-   WHEN regexp_matches(location, '(?i)src1[0-9]|platz src2') THEN 'Ort: ' || regexp_extract(location, '(?i)src1[0-9]|platz src2')
-   WHEN regexp_matches(title, '(?i)ation|keit|ment') THEN 'Titel: ' || regexp_extract(title, '(?i)ation|keit|ment')
-   WHEN regexp_matches(location, '(?i)ation|keit|ment') THEN 'Ort: ' || regexp_extract(location, '(?i)ation|keit|ment')
-   ELSE 'kein sepulkraler Bezug' END AS reason FROM v)"""
-)
+VENUE_HIT, TOPIC_HIT, PRIVATE_HIT = "(?i)src1[0-9]|platz src2", "(?i)ation|keit|ment", "^The [A-Za-z]+ [a-z]"
+
+
+def sql_reason(venue: str, topic: str, private: str) -> str:
+    hit = lambda name, c, p: f"WHEN regexp_matches({c}, '{p}') THEN '{name}: ' || regexp_extract({c}, '{p}')"
+    chain = [("Quelle", "place", venue), ("Ort", "location", venue), ("Titel", "title", topic), ("Beschreibung", "description", topic), ("Ort", "location", topic)]
+    return f"CASE WHEN regexp_matches(title, '{private}') THEN 'einzelne Bestattung, keine oeffentliche Veranstaltung' {' '.join(hit(*c) for c in chain)} ELSE 'kein sepulkraler Bezug' END"
+
+
+REASONED = f"""v AS (SELECT *, lower({SQL_HOST} || '/' || split_part(url, '/', 4)) AS place FROM listing),
+reasoned AS (SELECT *, {sql_reason(VENUE_HIT, TOPIC_HIT, PRIVATE_HIT)} AS reason FROM v)"""
+
+
+@query(f"WITH {LISTING}, {REASONED} SELECT ordinal, NOT (reason LIKE 'einzelne%' OR reason LIKE 'kein %') AS relevant, reason FROM reasoned")
 def topic_reason(spark, d):
     e = listing(spark, d)
-    return e.select("ordinal", classify.topic_reason(F.col("title"), F.lit(None).cast("string"), F.col("location"), F.col("url"), RULES).alias("x")).select("ordinal", "x.relevant", "x.reason")
+    return e.select("ordinal", classify.topic_reason(F.col("title"), F.col("description"), F.col("location"), F.col("url"), RULES).alias("x")).select("ordinal", "x.relevant", "x.reason")
 
 
 @query(f"WITH {LISTING} SELECT ordinal, coalesce(date_end, date_start) AS last_day FROM listing WHERE coalesce(date_end, date_start) >= DATE '2024-01-15'", ("last_day",))
@@ -198,10 +212,10 @@ def expire(spark, d):
 
 def tagged(spark, d):
     e = listing(spark, d)
-    return e.withColumns({"region": classify.event_region(F.col("location"), F.col("url"), REGIONS), "kind": F.coalesce(classify.event_type(F.col("title"), TYPES), F.lit("sonstige")), "description": F.lit("")})
+    return e.withColumns({"region": classify.event_region(F.col("location"), F.col("url"), REGIONS), "kind": classify.event_kind(F.col("title"), F.col("description"), TYPES)})
 
 
-TAGGED = f"tagged AS (SELECT *, {sql_region()} AS region, coalesce({sql_type('title')}, 'sonstige') AS kind FROM listing)"
+TAGGED = f"tagged AS (SELECT *, {sql_region()} AS region, coalesce({sql_type('title')}, {sql_type('description')}, 'sonstige') AS kind FROM listing)"
 WINDOW = "(date_start <= DATE '2024-01-15' + {n} AND coalesce(date_end, date_start) >= DATE '2024-01-15')"
 
 
@@ -214,7 +228,7 @@ def facet_counts(spark, d):
 
 
 CHOICE = {"search": "the", "region": "nord", "kind": "kurz", "days": 7}
-PASS_SEARCH, PASS_TIME = "contains(lower(title || ' ' || location || ' '), 'the')", WINDOW.format(n=7)
+PASS_SEARCH, PASS_TIME = "contains(lower(title || ' ' || location || ' ' || description), 'the')", WINDOW.format(n=7)
 
 
 @query(
@@ -239,10 +253,9 @@ def window_overlap(spark, d):
     return listing(spark, d).select("ordinal", present.in_window(TODAY, 7).alias("in_7"), present.in_window(TODAY, 30).alias("in_30"))
 
 
-@query(f"WITH {LISTING} SELECT greatest(date_start, DATE '2024-01-15') AS sort_day, date_start, min(ordinal) AS first_ordinal, count(*) AS n FROM listing GROUP BY 1, 2 ORDER BY 1, 2", ("sort_day", "date_start"))
+@query(f"WITH {LISTING} SELECT ordinal, row_number() OVER (ORDER BY greatest(date_start, DATE '2024-01-15'), date_start, ordinal) - 1 AS rank FROM listing")
 def listing_order(spark, d):
-    e = present.listed(listing(spark, d), TODAY)
-    return e.groupBy(F.greatest("date_start", F.lit(TODAY)).alias("sort_day"), "date_start").agg(F.min("ordinal").alias("first_ordinal"), F.count(F.lit(1)).alias("n")).orderBy("sort_day", "date_start")
+    return budget.ranked(listing(spark, d).select("ordinal", "date_start"), *present.listing_key(TODAY)).select("ordinal", "rank")
 
 
 @query(f"WITH {LISTING} SELECT ordinal, date_end IS NOT NULL AS is_running, date_start = DATE '2024-01-15' AS is_new, DATE '2024-01-15' - date_start > 10 AS is_stale FROM listing")
@@ -263,7 +276,7 @@ pairs AS (SELECT a.ordinal AS a, b.ordinal AS b, a.t AS ta, b.t AS tb, a.tt AS t
 
 
 def features(spark, d):
-    return resolve.with_features(listing(spark, d).withColumn("description", F.lit("")), TYPES)
+    return resolve.with_features(listing(spark, d), TYPES)
 
 
 @query(f"WITH {LISTING}, {FEATURES} SELECT a, b FROM pairs WHERE ta = tb AND ta <> ''")
@@ -272,15 +285,24 @@ def duplicates_by_title(spark, d):
     return p.select(F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b"))
 
 
-@query(f"WITH {LISTING}, {FEATURES} SELECT a, b, CASE WHEN len(tta) > 0 AND len(ttb) > 0 THEN len(list_intersect(tta, ttb)) / (len(tta) + len(ttb) - len(list_intersect(tta, ttb))) ELSE 0.0 END AS jaccard FROM pairs WHERE ta <> tb AND len(list_intersect(tta, ttb)) > 0")
+SHARED = "len(list_intersect(tta, ttb))"
+
+
+@query(f"WITH {LISTING}, {FEATURES}, j AS (SELECT *, CASE WHEN len(tta) > 0 AND len(ttb) > 0 THEN {SHARED} / (len(tta) + len(ttb) - {SHARED}) ELSE 0.0 END AS jaccard FROM pairs WHERE ta <> tb AND ta <> '' AND tb <> '') SELECT a, b, jaccard FROM j WHERE jaccard >= 0.6 AND 2 * least(length(ta), length(tb)) >= 0.88 * (length(ta) + length(tb))")
 def title_jaccard(spark, d):
-    p = resolve.candidate_pairs(features(spark, d)).where("a.c_title <> b.c_title").where(F.arrays_overlap("a.t_tokens", "b.t_tokens"))
+    p = resolve.candidate_pairs(features(spark, d)).where("a.c_title <> b.c_title").where(resolve.like_titles(F.col("a"), F.col("b")))
     return p.select(F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b"), text.jaccard(F.col("a.t_tokens"), F.col("b.t_tokens")).alias("jaccard"))
 
 
-@query(f"WITH {LISTING}, {FEATURES} SELECT a, b FROM pairs WHERE ta <> tb AND least(length(ta), length(tb)) >= 12 AND contains(CASE WHEN length(tb) < length(ta) THEN ta ELSE tb END, CASE WHEN length(tb) < length(ta) THEN tb ELSE ta END)")
+HALVED = "halved AS (SELECT * REPLACE (CASE WHEN ordinal % 3 = 0 THEN trim(left(title, length(title) // 2)) ELSE title END AS title) FROM listing)"
+
+
+@query(f"WITH {LISTING}, {HALVED}, {FEATURES.replace('FROM listing', 'FROM halved')} SELECT a, b FROM pairs WHERE ta <> tb AND ta <> '' AND tb <> '' AND least(length(ta), length(tb)) >= 12 AND contains(CASE WHEN length(tb) < length(ta) THEN ta ELSE tb END, CASE WHEN length(tb) < length(ta) THEN tb ELSE ta END)")
 def duplicates_by_containment(spark, d):
-    p = resolve.candidate_pairs(features(spark, d)).where("a.c_title <> b.c_title").where(resolve.contained(F.col("a.c_title"), F.col("b.c_title")))
+    """A third of the titles are cut to their first half, so that others hold them."""
+    half = F.trim(F.left("title", F.floor(F.length("title") / 2).cast("int")))
+    e = listing(spark, d).withColumn("title", F.when(F.col("ordinal") % 3 == 0, half).otherwise(F.col("title")))
+    p = resolve.candidate_pairs(resolve.with_features(e, TYPES)).where("a.c_title <> b.c_title").where(resolve.contained(F.col("a.c_title"), F.col("b.c_title")))
     return p.select(F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b"))
 
 
@@ -292,12 +314,12 @@ def duplicate_pairs(spark, d):
 def store_rows(spark, d):
     e = listing(spark, d)
     seen = F.lit(date(2024, 1, 10))
-    return e.select(links.event_id(F.col("title"), F.col("date_start"), F.col("url")).alias("id"), "ordinal", "title", "date_start", "date_end", "location", F.lit("").alias("description"), "url", seen.alias("first_seen"), seen.alias("last_seen"))
+    return e.select(links.event_id(F.col("title"), F.col("date_start"), F.col("url")).alias("id"), "ordinal", "title", "date_start", "date_end", "location", "description", "url", seen.alias("first_seen"), seen.alias("last_seen"))
 
 
 @query()
 def dedup_two_pass(spark, d):
-    return resolve.deduplicate(store_rows(spark, d), TYPES)
+    return resolve.deduplicate(store_rows(spark, d), TYPES).drop("ordinal")  # numbers the new order
 
 
 @query()
@@ -335,23 +357,159 @@ def budget_select(spark, d):
     return budget.plan_batches(hit_pages(spark, d), 738900, 12)
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, user_id FROM events WHERE CAST(json_extract(props, '$.k') AS INT) BETWEEN 1 AND 3")
+K = "CAST(json_extract(props, '$.k') AS INT)"
+
+
+@query(f"SELECT event_id, {K} AS source_id, event_type AS title, 'https://p' || CAST({K} AS VARCHAR) || '.example/' AS url FROM events WHERE {K} BETWEEN 1 AND 3 AND event_id % 10 <> 0")
 def reply_sources(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", F.from_json("props", "k int").alias("p")).select("event_id", "user_id", "p.k")
-    known = spark.createDataFrame([(1,), (2,), (3,)], "k int")
-    return e.join(F.broadcast(known), "k").select("event_id", "k", "user_id")
+    """A reply for each event, in a fence or not, one in ten cut off; batches have three pages."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    body = F.concat(F.lit('{"events": [{"source_id": '), "k", F.lit(', "title": "'), "event_type", F.lit('", "other": 1}]}'))
+    body = F.when(F.col("event_id") % 10 == 0, F.left(body, F.length(body) - 2)).otherwise(body)
+    reply = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    places = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f"https://p{i}.example/").alias("url")) for i in (1, 2, 3)])
+    placed = e.select(F.col("event_id").alias("batch_id"), F.explode(places).alias("p")).select("batch_id", "p.*")
+    out = pipeline.read_replies(e.select(F.col("event_id").alias("batch_id"), reply.alias("reply")), placed)
+    return out.select(F.col("batch_id").alias("event_id"), "source_id", "title", "url")
+
+
+@query(
+    """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id % 7 <> 0)
+SELECT 'https://u' || CAST(user_id AS VARCHAR) || '.example/x' AS page_url, CAST(k AS INT) AS pos, event_type || ', ' || CAST(event_id AS VARCHAR) AS title, CAST(ts AS DATE) AS date_start,
+  CASE WHEN event_id % 3 = 0 THEN CAST(CAST(ts AS DATE) + 2 AS DATE) END AS date_end, 'Saal ' || CAST(event_id % 5 AS VARCHAR) AS location
+FROM e WHERE n >= 3 AND k <= 60""",
+    ("date_start", "date_end"),
+)
+def feed_events(spark, d):
+    """A page and a calendar for each user of the events table; those of one user in seven are on blocked hosts."""
+    e = table(spark, d, "events")
+    day = lambda n: F.date_format(F.date_add(F.col("ts").cast("date"), n), "yyyyMMdd")
+    whole = F.col("event_id") % 2 == 0
+    start = F.when(whole, F.concat(F.lit("DTSTART;VALUE=DATE:"), day(0))).otherwise(F.concat(F.lit("DTSTART:"), F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")))
+    last = F.when(whole, day(3)).otherwise(F.concat(day(2), F.lit("T120000")))
+    end = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("DTEND:"), last, F.lit("\r\n"))).otherwise("")
+    place = F.concat(F.lit("LOCATION;X=1:Saa\r\n l "), (F.col("event_id") % 5).cast("string"), F.lit("\r\n"))
+    lines = F.concat(F.lit("BEGIN:VEVENT\r\nSUMMARY:"), "event_type", F.lit("\\, "), F.col("event_id").cast("string"), F.lit("\r\n"), place, start, F.lit("\r\n"), end, F.lit("END:VEVENT\r\n"))
+    host_of = F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example"))
+    rows = F.array_sort(F.collect_list(F.struct("event_id", lines.alias("l"))))
+    bodies = e.groupBy("user_id").agg(F.array_join(F.transform(rows, lambda r: r["l"]), "").alias("l"))
+    bodies = bodies.select(F.concat(host_of, F.lit("/cal.ics")).alias("feed_url"), F.concat(F.lit("BEGIN:VCALENDAR\r\n"), "l", F.lit("END:VCALENDAR\r\n")).alias("body"))
+    pages = e.select("user_id").distinct().select(F.concat(host_of, F.lit("/x")).alias("url"), F.lit("<head><link rel='alternate' type='text/calendar' href='cal.ics'></head>").alias("html"))
+    blocked = [f"u{u}.example" for u in range(0, 3000, 7)]
+    return calendars.feed_events(pages, bodies, blocked).select("page_url", "pos", "title", "date_start", "date_end", "location")
 
 
 @query(rf"SELECT page_id, url FROM pages WHERE {SQL_HOST} NOT IN ('blog.tionsh.example.com', 'tionble.example.org')")
 def unblocked_pages(spark, d):
-    blocked = spark.createDataFrame([("blog.tionsh.example.com",), ("tionble.example.org",)], "host string")
-    p = table(spark, d, "pages").withColumn("host", links.host(F.col("url")))
-    return p.join(F.broadcast(blocked), "host", "left_anti").select("page_id", "url")
+    return calendars.unblocked(table(spark, d, "pages"), ("blog.tionsh.example.com", "tionble.example.org")).select("page_id", "url")
+
+
+VERDICT = "CASE WHEN ordinal % 50 = 0 THEN 'datum_ungueltig' WHEN coalesce(date_end, date_start) < DATE '2024-01-15' THEN 'vergangen' WHEN reason LIKE 'einzelne%' OR reason LIKE 'kein %' THEN 'thema_verfehlt' ELSE 'ok' END"
+
+
+def judged(spark, d):
+    """The listing as extraction gives it: dates as texts, one in fifty unreadable."""
+    e = listing(spark, d)
+    start = F.when(F.col("ordinal") % 50 == 0, "bald").otherwise(F.date_format("date_start", "d.M.yyyy"))
+    return pipeline.judge(e.withColumns({"date_start": start, "date_end": F.col("date_end").cast("string"), "origin": F.lit("api")}), TODAY, RULES)
+
+
+@query(f"WITH {LISTING}, {REASONED} SELECT {VERDICT} AS verdict, count(*) AS n FROM reasoned GROUP BY 1")
+def run_counters(spark, d):
+    return judged(spark, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LISTING}, {REASONED} SELECT CASE WHEN reason LIKE 'einzelne%' THEN '[privat]' ELSE title END AS title, CAST(date_start AS VARCHAR) AS date_start, location, url, reason AS _grund, 'api' AS _herkunft FROM reasoned WHERE {VERDICT} = 'thema_verfehlt'")
+def rejected(spark, d):
+    return pipeline.reject_log(judged(spark, d)).withColumn("date_start", F.col("date_start").cast("string"))
+
+
+TOPIC_WORDS = [w.replace(r"\b", "").replace(r"\s+", " ") for w in TOPICS]
+REGION_WORDS = [k for _, keys in REGIONS_ALL for k in keys]
+WORDED = f"""worded AS (SELECT doc_id AS ordinal, 'Abend zu ' || {sql_list(TOPIC_WORDS)}[doc_id % {len(TOPIC_WORDS)} + 1] || ' im Saal' AS title, '' AS description,
+  'Am ' || {sql_list(REGION_WORDS)}[doc_id % {len(REGION_WORDS)} + 1] AS location,
+  CASE WHEN doc_id % 3 = 0 THEN 'https://' || {sql_list(VENUES)}[doc_id % {len(VENUES)} + 1] || '.example.org/x' ELSE 'https://stadt.example.org/x' END AS url FROM documents)"""
+
+
+def worded(spark, d):
+    """Rows made of the default words: a topic in the title, a region's word in the place, a venue's in some hosts."""
+    pick = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("doc_id") % len(words) + 1).cast("int"))
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("ordinal"), F.concat(F.lit("Abend zu "), pick(TOPIC_WORDS), F.lit(" im Saal")).alias("title"), F.lit("").alias("description"),
+        F.concat(F.lit("Am "), pick(REGION_WORDS)).alias("location"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://"), pick(VENUES), F.lit(".example.org/x"))).otherwise("https://stadt.example.org/x").alias("url"),
+    )
+
+
+@query(f"WITH {WORDED}, v AS (SELECT *, lower({SQL_HOST} || '/x') AS place FROM worded) SELECT ordinal, {sql_reason('(?i)' + '|'.join(VENUES), '(?i)' + '|'.join(TOPICS), '^The [A-Z]x')} AS reason FROM v")
+def default_topics(spark, d):
+    e = worded(spark, d)
+    return e.select("ordinal", classify.topic_reason(F.col("title"), F.col("description"), F.col("location"), F.col("url")).alias("x")).select("ordinal", "x.reason")
+
+
+@query(f"WITH {WORDED} SELECT ordinal, CASE WHEN contains(lower(location), 'online') THEN 'online' ELSE {sql_region(REGIONS_ALL)} END AS region, coalesce({sql_type('title', EVENT_TYPES)}, 'sonstige') AS kind FROM worded")
+def default_regions_and_types(spark, d):
+    return pipeline.tagged(worded(spark, d)).select("ordinal", "region", "kind")
+
+
+@query("SELECT o_orderkey, o_orderkey % 6 = 5 AS private FROM orders")
+def private_events(spark, d):
+    """Titles of funerals and of events that only begin like them."""
+    form = ["Beisetzungsformen im Wandel", "Gedenkfeier fuer einsam Verstorbene", "Abend der Bestattung von Anna Weber", "trauerfeier für alle", "Bestattung heute", "Urnenbeisetzung von Anna Weber"]
+    title = F.element_at(F.array(*[F.lit(x) for x in form]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.rlike(title, F.lit(classify.TopicRules().private)).alias("private"))
+
+
+@query("SELECT o_orderkey, CAST([2, 1, 1, 1, 1, 0][o_orderkey % 6 + 1] AS INT) AS hits, CASE WHEN o_orderkey % 6 = 5 THEN 'kein Datum' END AS reason FROM orders")
+def dates_in_texts(spark, d):
+    """Hits of the default date pattern in running text, and the gate's reason."""
+    day = F.col("o_orderdate").cast("date")
+    months = F.array(*[F.lit(m) for m in ("Januar", "Feb.", "März", "APRIL", "Mai", "Juni", "Jul", "August", "Sept", "Okt.", "November", "Dezember")])
+    forms = [F.concat(F.date_format(day, "d.M.yyyy"), F.lit(" bis "), F.date_format(day, "d. M. yy")), F.concat(F.lit("nur "), F.date_format(day, "dd.MM."), F.lit(" abends"))]
+    forms += [F.concat(F.dayofmonth(day).cast("string"), F.lit(". "), F.element_at(months, F.month(day)), F.lit(" um acht")), F.date_format(day, "yyyy-MM-dd")]
+    forms += [F.concat(F.lit("Sa., "), F.dayofmonth(day).cast("string"), F.lit(". im Saal")), F.lit("5 Personen in 3.Raum 17")]
+    said = F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.regexp_count(said, F.lit(text.DATES)).alias("hits"), prepare.reject_reason(said, least=5).alias("reason"))
+
+
+def sql_escaped(c: str) -> str:
+    out = c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+AGE = "DATE '2024-01-15' - date_start"
 
 
 @query(
-    f"""WITH {LISTING} SELECT count(*) FILTER (WHERE coalesce(date_end, date_start) < DATE '2024-01-15') AS vergangen,
- count(*) FILTER (WHERE NOT (regexp_matches(title, '(?i)ation|keit|ment'))) AS thema_verfehlt, count(*) AS alle FROM listing"""
+    f"""WITH {LISTING}, {TAGGED} SELECT ordinal, '<tr data-tags="region-' || region || ' art-' || kind || CASE WHEN date_end IS NOT NULL THEN ' laufend' ELSE '' END || '"><td>' || CAST(date_start AS VARCHAR) || CASE WHEN date_end IS NOT NULL THEN '<span class="date-end">bis ' || CAST(date_end AS VARCHAR) || '</span>' ELSE '' END
+ || '</td><td>' || {sql_escaped('title')} || CASE WHEN date_end IS NOT NULL THEN '<span class="badge-laufend">l&auml;uft</span>' ELSE '' END || CASE WHEN date_start = DATE '2024-01-15' THEN '<span class="badge-new">neu</span>' ELSE '' END || CASE WHEN {AGE} > 10 THEN '<span class="badge-stale">seit ' || CAST({AGE} AS VARCHAR) || ' Tagen nicht best&auml;tigt</span>' ELSE '' END
+ || '</td><td>' || {sql_escaped('location')} || '</td><td>' || {sql_escaped('description')} || '</td><td><a href="' || {sql_escaped('url')} || '">Link</a></td></tr>' AS html FROM tagged"""
 )
-def run_counters(spark, d):
-    return listing(spark, d).agg(F.count_if(dates.effective_end() < F.lit(TODAY)).alias("vergangen"), F.count_if(~F.rlike("title", F.lit(RULES.topic))).alias("thema_verfehlt"), F.count(F.lit(1)).alias("alle"))
+def page_rows(spark, d):
+    e = tagged(spark, d).withColumns({"first_seen": F.col("date_start"), "last_seen": F.col("date_start")})
+    return e.select("ordinal", present.row_html(TODAY).alias("html"))
+
+
+@query(
+    f"""WITH {LISTING}, {TAGGED}, c AS (SELECT 'region' AS dim, region AS value, count(*) AS n FROM tagged GROUP BY region UNION ALL SELECT 'kind', kind, count(*) FROM tagged GROUP BY kind)
+SELECT dim, '<button data-value="' || value || '">' || CASE value WHEN 'nord' THEN 'Norden' WHEN 'sued' THEN 'S&uuml;den' WHEN 'west' THEN 'Westen' ELSE upper(left(value, 1)) || substr(value, 2) END || ' <span class="count">' || CAST(n AS VARCHAR) || '</span></button>' AS html FROM c"""
+)
+def page_buttons(spark, d):
+    return present.value_counts(tagged(spark, d)).select("dim", present.button_html({**TYPE_LABELS, **REGION_LABELS}).alias("html"))
+
+
+@query("SELECT event_id, ['HTTP 404', 'Timeout', 'DNS unbekannt', 'TLS-Handshake', 'Verbindung fehlgeschlagen', 'Protokollfehler', 'ReadError', 'WriteTimeout'][event_id % 8 + 1] AS kind FROM events")
+def fetch_problems(spark, d):
+    """Errors as a fetch leaves them, grouped by kind."""
+    cases = [("HTTPStatusError", "not found", 404), ("ReadTimeout", "", None), ("ConnectError", "[Errno -2] Name or service not known", None), ("ConnectError", "handshake failure", None), ("ConnectError", "refused", None)]
+    cases += [("RemoteProtocolError", "x", None), ("ReadError", "SSL", None), ("WriteTimeout", "", None)]
+    pick = lambda k, t: F.element_at(F.array(*[F.lit(c[k]).cast(t) for c in cases]), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", links.error_kind(pick(0, "string"), pick(1, "string"), pick(2, "int")).alias("kind"))
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 3 = 1 AND (contains(lower(url), 'example.org') OR contains(lower(url), '/de/'))")
+def sources_of_a_run(spark, d):
+    status = F.element_at(F.array(F.lit("disabled"), F.lit("active"), F.lit("candidate")), (F.col("page_id") % 3 + 1).cast("int"))
+    return active_sources(table(spark, d, "pages").withColumn("status", status), [" Example.ORG ", "", "/DE/"]).select("page_id", "url")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from almanac.functions.dates import calendar_date
 from almanac.functions.links import host
 from almanac.functions.text import strip, unescape
-from almanac.settings import GENERATOR_FEEDS, GENERATOR_HINT, MAX_FEED_CANDIDATES, MAX_FEED_EVENTS, MAX_ICS_LINKS, MIN_FEED_EVENTS
+from almanac.settings import FEED_BLOCKLIST, GENERATOR_FEEDS, GENERATOR_HINT, MAX_DESCRIPTION, MAX_FEED_CANDIDATES, MAX_FEED_EVENTS, MAX_ICS_LINKS, MIN_FEED_EVENTS
 
 #: Characters of a page in which a generator's mark is looked for.
 HINT_LENGTH = 200_000
@@ -90,7 +90,7 @@ def read_calendar(feeds: DataFrame, most: int = MAX_FEED_EVENTS) -> DataFrame:
         return F.get(all_, F.size(all_) - 1)
 
     raw = ended.select("feed_url", "page_url", "block", *[prop(n).alias(n.lower()) for n in ("SUMMARY", "LOCATION", "DESCRIPTION", "URL", "DTSTART", "DTEND")])
-    texts = ("summary", "location", "description")
+    texts = ("summary", "location", "description", "url")
     has = F.lit(False)
     for c in texts:
         has = has | F.coalesce(F.contains(c, F.lit("&")), F.lit(False))
@@ -101,17 +101,21 @@ def read_calendar(feeds: DataFrame, most: int = MAX_FEED_EVENTS) -> DataFrame:
     end = F.when(F.col("s.all_day"), F.date_sub("e.day", 1)).otherwise(F.col("e.day"))
     built = rows.where((F.col("summary") != "") & start.isNotNull()).select(
         "feed_url", "page_url", "block", F.col("summary").alias("title"), start.alias("date_start"), F.when(end > start, end).alias("date_end"), "location",
-        F.left("description", F.lit(400)).alias("description"), F.when(F.rlike(F.trim("url"), F.lit("^https?://")), F.trim("url")).otherwise(F.col("page_url")).alias("url"),
+        F.left("description", F.lit(MAX_DESCRIPTION)).alias("description"), F.when(F.rlike("url", F.lit("^https?://")), F.col("url")).otherwise(F.col("page_url")).alias("url"),
     )
     order = Window.partitionBy("feed_url", "page_url").orderBy("block")
     return built.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most).drop("block")
 
 
-def feed_events(pages: DataFrame, bodies: DataFrame, blocked: Sequence[str] = (), least: int = MIN_FEED_EVENTS) -> DataFrame:
+def unblocked(pages: DataFrame, blocked: Sequence[str] = FEED_BLOCKLIST) -> DataFrame:
+    """Pages whose host is not blocked."""
+    return pages.where(~host(F.col("url")).isin(list(blocked))) if blocked else pages
+
+
+def feed_events(pages: DataFrame, bodies: DataFrame, blocked: Sequence[str] = FEED_BLOCKLIST, least: int = MIN_FEED_EVENTS) -> DataFrame:
     """Events of the best feed of each page (url, html): of its first candidates, whose bodies
     (feed_url, body) have been fetched, the one with most events, the first of equals, if it has enough."""
-    free = pages.where(~host(F.col("url")).isin(list(blocked))) if blocked else pages
-    found = free.select(F.col("url").alias("page_url"), F.posexplode(F.slice(find_feeds("html", "url"), 1, MAX_FEED_CANDIDATES)).alias("rank", "feed_url"))
+    found = unblocked(pages, blocked).select(F.col("url").alias("page_url"), F.posexplode(F.slice(find_feeds("html", "url"), 1, MAX_FEED_CANDIDATES)).alias("rank", "feed_url"))
     landed = found.join(bodies.where(F.contains(F.upper("body"), F.lit("BEGIN:VCALENDAR"))), "feed_url")
     events = read_calendar(landed).join(found, ["page_url", "feed_url"])
     counted = events.groupBy("page_url", "feed_url", "rank").count().where(F.col("count") >= least)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from almanac.schemas import EVENT_COLUMNS, EVENTS, STORE_JSON
 
-POINTER = "CURRENT"
-
 
 def read_json_store(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of events by id; their order in it becomes ordinal."""
@@ -18,29 +16,30 @@ def read_json_store(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns(days).select(*EVENT_COLUMNS)
 
 
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Names of the complete versions of a store, the newest last. Spark marks a version complete when all its
+    files are there; what a crash left unfinished is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(root)):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path(root)) if s.isDirectory() and s.getPath().getName().startswith("v"))
+    return [n for n in names if fs.exists(path(f"{root}/{n}/_SUCCESS"))]
+
+
 def read_store(spark: SparkSession, root: str) -> DataFrame:
-    """The version that the pointer names; an empty store if there is none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], EVENTS)
-    version = spark.read.text(f"{root}/{POINTER}").first()[0]
-    return spark.read.schema(EVENTS).parquet(f"{root}/{version}")
-
-
-def write_store(events: DataFrame, root: str, version: str) -> None:
-    """Writes a new version beside the old ones, then moves the pointer to it; readers never see a part."""
-    spark = events.sparkSession
-    events.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(f"{root}/{version}")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = (jvm.org.apache.hadoop.fs.Path(f"{root}/{n}") for n in (f"_{POINTER}-{version}", POINTER))
-    fs = new.getFileSystem(conf)
-    out = fs.create(new, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    if fs.exists(old):
-        fs.delete(old, False)
-    fs.rename(new, old)
+    """The newest complete version; an empty store if there is none."""
+    done = versions(spark, root)
+    return spark.read.schema(EVENTS).parquet(f"{root}/{done[-1]}") if done else spark.createDataFrame([], EVENTS)
+
+
+def write_store(events: DataFrame, root: str, label: str = "run") -> str:
+    """Writes a new version beside the old ones and returns its name, a number above all others and the label.
+    Nothing is deleted or moved: until the last file is written, readers find the version before."""
+    done = versions(events.sparkSession, root)
+    name = f"v{int(done[-1][1:13]) + 1 if done else 1:012d}-{label}"
+    events.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(f"{root}/{name}")
+    return name
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:

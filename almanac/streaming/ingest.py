@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -9,15 +10,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from almanac.functions.classify import TopicRules
 from almanac.plans.pipeline import run
-from almanac.sources.store import read_store, write_store
+from almanac.sources.store import read_store, versions, write_store
 
 
 def ingest_stream(events: DataFrame, root: str, checkpoint: str, today: date, rules: TopicRules = TopicRules()) -> StreamingQuery:
-    """Runs every micro-batch of events against the store and writes the version named after the batch;
-    a batch that is tried again writes the same version anew, so that nothing is merged twice."""
+    """Runs every micro-batch of events against the newest version of the store and writes the next, labelled with
+    the stream's id and the batch's number. A batch whose version is there already is not run again, so a
+    batch that is tried again is merged once; a stream with a new checkpoint has a new id and goes on from
+    what the store holds."""
 
     def one(batch: DataFrame, number: int) -> None:
-        store = read_store(batch.sparkSession, root) if number == 0 else batch.sparkSession.read.parquet(f"{root}/v{number - 1}")
-        write_store(run(store, batch, today, rules).store, root, f"v{number}")
+        spark = batch.sparkSession
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        label = f"{stream}-{number}"
+        if not any(v.endswith(label) for v in versions(spark, root)):
+            write_store(run(read_store(spark, root), batch, today, rules).store, root, label)
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,8 @@
 """Event operators: golden cases, plain models, and independence of partitions."""
 
+import hashlib
 import random
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -76,6 +78,8 @@ def test_condense(spark):
     assert r.text == long[at[0] - 200 : at[1] + 400] and r.hits == 2
     assert tuple(cond("x" * 13000)) == ("x" * 12000, 0)
     assert tuple(cond("1.2.2026 " * 50)) == ("1.2.2026 " * 35, 35)
+    dense = "x" * 1000 + " 1.2.2026" * 60  # the first window does not fit: what it begins with stays
+    assert tuple(cond(dense, limit=500)) == (dense[801:1301], 33)
     far = "1.2.2026 " + "x" * 900 + " 3.2.2026 " + "x" * 900
     assert text_gap(cond(far, limit=1000).text) == 1
 
@@ -104,10 +108,49 @@ def test_calendars(spark):
     assert calendars.feeds_of("<a href='a.ics'>x</a>" * 4, "https://q.example/") == []
 
 
-def test_batches():
-    assert budget.first_fit([35, 35, 20, 20]) == [[0, 2], [1, 3]]
-    assert budget.within_budget(["a", "b"], [1, 1], 5) == [0, 1]
-    assert len(budget.first_fit([50 for _ in budget.within_budget([f"u{i}" for i in range(60)], [50] * 60, 7)])) == 40
+def plain_first_fit(hits, size=8, most=55):
+    """Batches of indexes, page by page."""
+    batches = []
+    for i in sorted(range(len(hits)), key=lambda i: -hits[i]):
+        at = next((b for b in batches if len(b) < size and sum(hits[k] for k in b) + hits[i] <= most), None)
+        if at is None:
+            batches.append([i])
+        else:
+            at.append(i)
+    return batches
+
+
+def plain_budget(urls, hits, period, most):
+    if len(plain_first_fit(hits)) <= most:
+        return list(range(len(urls)))
+    kept = []
+    for i in sorted(range(len(urls)), key=lambda i: hashlib.md5(f"{urls[i]}|{period}".encode()).hexdigest()):
+        if len(plain_first_fit([hits[k] for k in [*kept, i]])) <= most:
+            kept.append(i)
+    return kept
+
+
+def plain_places(urls, hits, period, most):
+    kept = plain_budget(urls, hits, period, most)
+    return {kept[i]: (b, p) for b, batch in enumerate(plain_first_fit([hits[i] for i in kept])) for p, i in enumerate(batch, 1)}
+
+
+def test_batches(spark, monkeypatch):
+    assert plain_first_fit([35, 35, 20, 20]) == [[0, 2], [1, 3]]
+    rng = random.Random(3)
+    for n in (0, 1, 7, 300):
+        hits = [rng.choice([0, 1, 5, 20, 35, 55, 70, rng.randint(0, 60)]) for _ in range(n)]
+        segments, total = budget.first_fit(Counter(hits))
+        want = plain_first_fit(hits)
+        assert total == len(want) and sum(hi - lo for _, lo, hi, *_ in segments) == n
+    monkeypatch.setattr(budget, "WINDOW", 9)
+    for n, most in ((300, 1 << 30), (300, 12), (120, 3), (5, 40), (40, 1)):
+        hits, urls = [rng.choice([0, 2, 9, 20, 35, 54]) for _ in range(n)], [f"https://p{i}.example/" for i in range(n)]
+        df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, hits))], "ordinal long, url string, hits int").repartition(5)
+        got = {r.ordinal: (r.batch_id, r.pos) for r in budget.plan_batches(df, 7, most).collect()}
+        want = plain_places(urls, hits, 7, most)
+        assert len(got) == n and {k: v for k, v in got.items() if v[0] is not None} == want
+    assert budget.plan_batches(df.where("false"), 7).collect() == []
 
 
 def events(spark, rows):
@@ -128,75 +171,174 @@ def test_duplicates(spark):
     assert [(r.title, r.date_start) for r in out] == [("Ausstellung Grab", date(2026, 9, 3))]
 
 
+def test_order_and_ids_of_two_passes(spark):
+    """Rows that end with one id: that of the later last day stays, days in the order in which they first occur."""
+    e1, e2 = date(2026, 12, 1), date(2026, 12, 2)
+    rows = [row("X", date(2026, 9, 1), e2), row("A", date(2026, 9, 2), e1, "Nord"), row("A", date(2026, 9, 2), e2, "Süd"), row("B", date(2026, 9, 5)), row("C", date(2026, 9, 1))]
+    out = resolve.deduplicate(events(spark, rows)).orderBy("ordinal").collect()
+    assert [(r.title, r.location) for r in out] == [(t, p) for t, p in plain_dedup(spark, rows)] and ("A", "Nord") in [(r.title, r.location) for r in out]
+    coded = [row("Gr&auml;ber"), row("Gräber")]
+    assert [r.title for r in resolve.deduplicate(events(spark, coded)).collect()] == ["Gräber"]
+    feats = resolve.with_features(events(spark, coded)).collect()
+    assert feats[0].c_title == feats[1].c_title == "gräber" and feats[0].t_tokens == feats[1].t_tokens
+
+
+def features_of(spark, df):
+    return resolve._rows(resolve.with_features(df).withColumn("new_id", links.event_id(F.col("c_title"), F.col("date_start"), F.col("url"))).toPandas(), ("ordinal",))
+
+
+def fold_plainly(groups):
+    out = []
+    for members in groups.values():
+        leaders = []
+        for r in members:
+            old = next((s for s in leaders if resolve.same_event(r, s)), None)
+            if old is None:
+                leaders.append(r)
+            else:
+                resolve.absorb(old, r)
+        out += leaders
+    return out
+
+
+def by(rows, day):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[day], []).append(r)
+    return groups
+
+
+def plain_dedup(spark, rows, df=None):
+    """(title, location) in order: both passes, day after day, then ids, the last of equals at the first's place."""
+    first = fold_plainly(by([dict(r) for r in features_of(spark, resolve.normalize(df or events(spark, rows)))], "date_start"))
+    merged = [r for r in first if not r["date_end"]] + fold_plainly(by([r for r in first if r["date_end"]], "date_end"))
+    ids = {}
+    for r in merged:
+        ids[hashlib.md5(f"{r['c_title']}|{r['date_start'] or ''}|{r['host']}".encode()).hexdigest()] = r
+    return [(r["title"], r["location"]) for r in ids.values()]
+
+
 def sequential(store_rows, new_rows, today):
     state = [dict(r, n_new=0, n_updated=0) for r in store_rows]
     for r in (dict(x) for x in new_rows):
-        r["last_seen"] = today
+        r.update(first_seen=today, last_seen=today)
         old = next((s for s in state if resolve.same_event(r, s)), None)
         if old is not None:
-            resolve.absorb(old, {**r, "first_seen": None})
+            resolve.absorb(old, r)
             old["last_seen"] = today
+            old["n_updated"] += 1
+            continue
+        r.update(id=r["new_id"], n_new=1, n_updated=0)
+        at = next((i for i, s in enumerate(state) if s["id"] == r["id"]), None)
+        if at is None:
+            state.append(r)
         else:
-            r.update(id=r["new_id"], first_seen=today)
-            at = next((i for i, s in enumerate(state) if s["id"] == r["id"]), None)
-            if at is None:
-                state.append(r)
-            else:
-                state[at] = {**r, "ordinal": state[at]["ordinal"]}
-    return sorted(((s["id"], s["title"], str(s["date_start"]), str(s["date_end"]), s["location"], str(s["first_seen"])) for s in state), key=str)
+            state[at] = {**r, "ordinal": state[at]["ordinal"], "n_new": 1 + state[at]["n_new"], "n_updated": state[at]["n_updated"]}
+    return comparable(state)
 
 
-def test_upsert_is_the_sequential_fold_for_any_partitions(spark):
-    rng = random.Random(4)
-    words = ["Grab", "Hof", "Stein", "Abend", "Lesung", "Rundgang"]
+SHOWN = ("id", "ordinal", "title", "date_start", "date_end", "location", "description", "first_seen", "last_seen", "n_new", "n_updated")
+
+
+def comparable(rows):
+    return sorted((tuple(str(r[c]) for c in SHOWN) for r in rows), key=str)
+
+
+WORDS = ["Grab", "Hof", "Stein", "Abend", "Lesung", "Rundgang", "Konzert", "über Gräber und Steine", "Führung mit Musik"]
+
+
+def random_rows(rng, n):
     rows = []
-    for _ in range(160):
+    for _ in range(n):
         s = date(2026, 9, rng.randint(1, 9))
-        rows.append(row(" ".join(rng.sample(words, rng.randint(1, 3))), s, date(2026, 9, rng.randint(10, 14)) if rng.random() < 0.4 else None, rng.choice(["", "Platz Nord", "Platz Süd"]), "", f"https://{rng.choice('ab')}.example/"))
-    df = events(spark, rows).withColumn("id", links.event_id(F.col("title"), F.col("date_start"), F.col("url")))
+        title = rng.choice(["", "Führung", " ".join(rng.sample(WORDS, rng.randint(1, 3))), "Ein langer Abend über Gräber" + rng.choice(["", " und Steine", " und Stein", " in der Kapelle"])])
+        place = rng.choice(["", "Platz Nord", "Platz Süd", "Platz Süd am Tor", "Hof"])
+        rows.append(row(title, s, date(2026, 9, rng.randint(10, 14)) if rng.random() < 0.4 else None, place, rng.choice(["", "kurz", "etwas länger"]), rng.choice(["https://a.example/", "https://b.example/", "", None])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_folds_are_the_sequential_ones_for_any_partitions(spark, seed):
+    rng = random.Random(seed)
+    rows = random_rows(rng, 220) + [row("Tag des Friedhofs", DAY, None, "Haupttor", "", "https://a.example/")] * 40
+    rng.shuffle(rows)
+    df = events(spark, rows)
+    want = plain_dedup(spark, rows)
+    for n in (1, 5):
+        assert [(r.title, r.location) for r in resolve.deduplicate(df.repartition(n)).orderBy("ordinal").collect()] == want
+    df = df.withColumn("id", links.event_id(F.col("title"), F.col("date_start"), F.col("url")))
     old, new = df.where("ordinal < 60").dropDuplicates(["id"]), df.where("ordinal >= 60")
-    feat = resolve.with_features(df).withColumn("new_id", F.col("id"))
-    all_rows = {r["ordinal"]: r for r in resolve._rows(feat.toPandas())}
+    every = {r["ordinal"]: r for r in features_of(spark, df)}
     kept = sorted(r.ordinal for r in old.collect())
-    want = sequential([all_rows[i] for i in kept], [all_rows[i] for i in range(60, 160)], DAY)
+    want = sequential([every[i] for i in kept], [every[i] for i in range(60, len(rows))], DAY)
     for n in (1, 5):
-        out = resolve.upsert(old.repartition(n), new.repartition(n), DAY).collect()
-        assert sorted(((r.id, r.title, str(r.date_start), str(r.date_end), r.location, str(r.first_seen)) for r in out), key=str) == want
-    a, b = (sorted(map(str, resolve.deduplicate(df.repartition(n)).collect())) for n in (1, 7))
-    assert a == b
+        assert comparable(r.asDict() for r in resolve.upsert(old.repartition(n), new.repartition(n), DAY).collect()) == want
+
+
+def test_fold_of_real_titles(spark):
+    """The registered rows of the smallest table: pairs, dedup and upsert against the plain fold."""
+    store = queries.store_rows(spark, "/root/testdata/sf0.001")
+    feats = resolve._rows(resolve.with_features(store, queries.TYPES).toPandas(), ("ordinal",))
+    want = sorted((a["ordinal"], b["ordinal"]) for k, a in enumerate(feats) for b in feats[:k] if resolve.same_event(a, b))
+    got = sorted((r.a, r.b) for r in resolve.duplicate_pairs(resolve.with_features(store, queries.TYPES)).collect())
+    assert got == want and len(got) > 5
 
 
-def test_upsert_leaves_untouched_rows_alone(spark):
-    """Rows that no incoming row may equal pass by; an id whose row has moved to another day is still found."""
+def test_ids_that_moved_are_found(spark):
+    """An id whose row has another day or title by now is overwritten in its place; untouched rows pass by."""
     id_of = lambda df: df.withColumn("id", links.event_id(F.col("title"), F.col("date_start"), F.col("url")))
-    new = id_of(events(spark, [row("Lesung"), row("", date(2026, 9, 2)), row("Führung", date(2026, 9, 4))])).withColumn("ordinal", F.col("ordinal") + 10)
+    new = id_of(events(spark, [row("Lesung"), row("", date(2026, 9, 2)), row("Führung", date(2026, 9, 4)), row("", date(2026, 9, 2))])).withColumn("ordinal", F.col("ordinal") + 10)
     moved_id = new.where("ordinal = 12").first().id
-    old = id_of(events(spark, [row("Lesung"), row("Konzert"), row("", date(2026, 9, 2)), row("Rundgang", date(2026, 9, 3))])).withColumn("id", F.when(F.col("title") == "Rundgang", moved_id).when(F.col("title") != "", F.col("id")))
-    feats = [resolve.with_features(x).withColumn("new_id", F.col("id")) for x in (old, new)]
-    assert {r.id for r in resolve.touched_ids(*feats).collect()} == {old.where("title = 'Lesung'").first().id, moved_id}
-    want = sequential(*[resolve._rows(x.toPandas()) for x in feats], DAY)
+    old = id_of(events(spark, [row("Lesung"), row("Konzert"), row("", date(2026, 9, 2)), row("Rundgang", date(2026, 9, 3))])).withColumn("id", F.when(F.col("title") == "Rundgang", moved_id).otherwise(F.col("id")))
+    want = sequential(features_of(spark, old), features_of(spark, new), DAY)
     out = resolve.upsert(old, new, DAY).collect()
-    got = [(r.id, r.title, str(r.date_start), str(r.date_end), r.location, str(r.first_seen)) for r in out]
-    assert sorted(got, key=str) == sorted(want, key=str) and sum(r.n_new for r in out) == 2
+    assert comparable(r.asDict() for r in out) == want and sum(r.n_new for r in out) == 3
+
+
+INCOMING = "ordinal long, title string, date_start string, date_end string, location string, description string, url string, origin string"
 
 
 def test_run_store_and_stream(spark, tmp_path):
     root = str(tmp_path / "store")
     assert store.read_store(spark, root).count() == 0
-    raw = [("Führung Friedhof", "13.9.2026", "manuell"), ("Alt Friedhof", "1.1.2020", "feed"), ("Stadtfest", "14.9.2026", "api"), ("Friedhof", "nie", "api"), ("Beisetzung Petra Muster Z", "14.9.2026", "api")]
-    incoming = spark.createDataFrame([(i, t, s, None, "", "", "https://a.example/", o) for i, (t, s, o) in enumerate(raw)], "ordinal long, title string, date_start string, date_end string, location string, description string, url string, origin string")
+    raw = [("Führung Friedhof", "13.9.2026", "manuell"), ("Alt Friedhof", "2020-01-01", "manuell"), ("Alt Friedhof", "1.1.2020", "feed"), ("Stadtfest", "14.9.2026", "api"), ("Friedhof", "nie", "api"), ("Beisetzung Petra Muster Z", "14.9.2026", "api")]
+    incoming = spark.createDataFrame([(i, t, s, None, "", "", "https://a.example/", o) for i, (t, s, o) in enumerate(raw)], INCOMING)
     r = pipeline.run(store.read_store(spark, root), incoming, DAY)
     assert [x.title for x in r.store.collect()] == ["Führung Friedhof"]
-    assert r.stats.first().asDict() == {"neu": 1, "aktualisiert": 0, "datum_ungueltig": 1, "vergangen": 1, "thema_verfehlt": 2, "zusammengefuehrt": 0, "entfernt": 0}
+    assert r.stats.first().asDict() == {"neu": 1, "aktualisiert": 0, "datum_ungueltig": 1, "vergangen": 1, "thema_verfehlt": 2, "zusammengefuehrt": 0, "entfernt": 0, "manuell_abgelaufen": 1}
     assert sorted(x.title for x in r.rejects.collect()) == ["Stadtfest", "[privat]"]
-    store.write_store(r.store, root, "v1")
+    store.write_store(r.store, root)
     assert store.read_store(spark, root).count() == 1
-    store.write_store(pipeline.run(store.read_store(spark, root), incoming, DAY).store, root, "v2")
+    store.write_store(pipeline.run(store.read_store(spark, root), incoming, DAY).store, root)
     assert [x.title for x in store.read_store(spark, root).collect()] == ["Führung Friedhof"]
+    (tmp_path / "store" / "v000000000009-cut").mkdir()  # a version that a crash left unfinished
+    assert store.read_store(spark, root).count() == 1 and len(store.versions(spark, root)) == 2
     incoming.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = ingest_stream(spark.readStream.schema(incoming.schema).parquet(str(tmp_path / "in")), str(tmp_path / "s2"), str(tmp_path / "cp"), DAY)
-    q.awaitTermination()
-    assert [x.title for x in store.read_store(spark, str(tmp_path / "s2")).collect()] == ["Führung Friedhof"]
+
+    def stream(checkpoint):
+        ingest_stream(spark.readStream.schema(incoming.schema).parquet(str(tmp_path / "in")), str(tmp_path / "s2"), str(tmp_path / checkpoint), DAY).awaitTermination()
+        return store.versions(spark, str(tmp_path / "s2"))
+
+    assert len(stream("cp")) == 1 and [x.title for x in store.read_store(spark, str(tmp_path / "s2")).collect()] == ["Führung Friedhof"]
+    commits = tmp_path / "cp" / "commits" / "0"
+    commits.unlink()  # as if the driver had died after the version was written: the batch is tried again
+    (tmp_path / "cp" / "commits" / ".0.crc").unlink(missing_ok=True)
+    assert len(stream("cp")) == 1
+    assert len(stream("other")) == 2 and store.read_store(spark, str(tmp_path / "s2")).count() == 1
+
+
+def test_dry_runs_staging_and_the_page(spark, tmp_path):
+    root = str(tmp_path / "staging")
+    raw = [("Führung <Friedhof> & mehr", "13.9.2026"), ("Lesung im Hospiz", "1.10.2026"), ("Stadtfest", "14.9.2026")]
+    incoming = spark.createDataFrame([(i, t, s, None, "Köln", "", "https://a.example/?x=1&y", "api") for i, (t, s) in enumerate(raw)], INCOMING)
+    r = pipeline.run(store.read_store(spark, f"{root}/store"), incoming, DAY)
+    pipeline.publish(r, root, DAY, dry_run=True)
+    assert store.versions(spark, f"{root}/store") == [] and not pipeline.render(spark, root, DAY) and spark.read.json(f"{root}/rejects").count() == 1
+    pipeline.publish(r, root, DAY)
+    rows = [x.value for x in spark.read.text(f"{root}/page/rows").collect()]
+    assert len(rows) == 2 and rows[0].startswith('<tr data-tags="region-west art-fuehrung"><td>2026-09-13</td><td>Führung &lt;Friedhof&gt; &amp; mehr<span class="badge-new">neu</span></td><td>Köln</td>')
+    assert 'href="https://a.example/?x=1&amp;y"' in rows[0]
+    assert [x.value for x in spark.read.text(f"{root}/page/buttons").collect()] == ['<button data-value="fuehrung">F&uuml;hrungen <span class="count">1</span></button>', '<button data-value="lesung">Lesungen <span class="count">1</span></button>', '<button data-value="west">Westen <span class="count">2</span></button>']
 
 
 def test_replies(spark):
