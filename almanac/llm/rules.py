@@ -35,6 +35,8 @@ STATS = ("x1", "x2", "x3", "x4", "x5")
 P = len(STATS)
 #: Quantiles come from counts of bins, which no order of rows or merges changes: bins of log(1 + x), and of log2 of a distance.
 FINE, FINE_D2, LEAST_D2 = 512, 32, 2.0**-20
+#: Files that a table of estimates, a few rows for each group, is written in.
+FILES = 4
 #: A determinant whose logarithm falls by no more than this has stopped falling.
 FALL = 1e-3
 
@@ -142,6 +144,10 @@ def _distance(names: list[str]) -> Column:
     return step(0, [])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return materialize(df.coalesce(FILES), "mcd")
+
+
 def _join(rows: DataFrame, params: DataFrame) -> DataFrame:
     return join_small(rows, params.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).drop("_g")
 
@@ -194,7 +200,7 @@ def robust_params(rows: DataFrame, r: Robust) -> DataFrame:
     of the distance; so no group is gathered and no result depends on the order of rows,
     but for the last bits of sums.
     """
-    cuts = materialize(quantiles(rows, (0.1, 0.25, 0.5, 0.75, 0.9)), "mcd-quantiles")
+    cuts = _small(quantiles(rows, (0.1, 0.25, 0.5, 0.75, 0.9)))
     inside = F.lit(True)
     for i, x in enumerate(STATS):
         inside = inside & F.col(x).between(F.col(f"q{i}_0") - 1e-9, F.col(f"q{i}_4") + 1e-9)
@@ -206,19 +212,19 @@ def robust_params(rows: DataFrame, r: Robust) -> DataFrame:
     sums = centred.groupBy("grp").agg(F.array(F.struct(F.lit(1).alias("start"), *_sums()), F.struct(F.lit(2).alias("start"), *_sums(F.col("inside")))).alias("s"))
     others = _moments(sums.select("grp", F.explode("s").alias("s")).select("grp", "s.*").where("n > 0"), keys, r.floors)
     now = first.select(*keys, *ESTIMATE).unionByName(others).withColumn("logdet", F.lit(float("inf")))
-    now = materialize(now.withColumn("open", F.lit(True)), "mcd")
+    now = _small(now.withColumn("open", F.lit(True)))
     for _ in range(r.steps):
         step = _concentrate(centred, now.where("open"), r).withColumnRenamed("grp", "_g").withColumnRenamed("start", "_s")
         step = step.select("_g", "_s", *[F.col(c).alias(f"n_{c}") for c in ESTIMATE])
         met = now.join(step, (F.col("grp") == F.col("_g")) & (F.col("start") == F.col("_s")), "left")
         falls = F.coalesce(F.col("n_logdet") < F.col("logdet") - FALL, F.lit(False))
-        nxt = materialize(met.select(*keys, *[F.when(falls, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ESTIMATE], falls.alias("open")), "mcd")
+        nxt = _small(met.select(*keys, *[F.when(falls, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ESTIMATE], falls.alias("open")))
         drop(now)
         now = nxt
         if now.where("open").isEmpty():
             break
     best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start", *ESTIMATE[:-1])).alias("e")).select("grp", "e.*")
-    best = materialize(best.drop("start"), "mcd-best")
+    best = _small(best.drop("start"))
     far = _join(centred, best).select("grp", F.floor(F.log2(F.greatest(_distance(Y), F.lit(LEAST_D2))) * FINE_D2).alias("bin"))
     whole = Window.partitionBy("grp")
     counts = far.groupBy("grp", "bin").count().withColumns({"upto": F.sum("count").over(whole.orderBy("bin")), "all": F.sum("count").over(whole)})
@@ -227,7 +233,7 @@ def robust_params(rows: DataFrame, r: Robust) -> DataFrame:
     scale = F.greatest(F.col("half") / CHI2_MEDIAN_5, F.lit(1.0)).alias("scale")
     middle = cuts.select("grp", *[F.col(f"q{i}_2").alias(f"o{i}") for i in range(P)])
     out = best.join(half, "grp").join(middle, "grp").select("grp", *[(F.col(f"m{i}") + F.col(f"o{i}")).alias(f"m{i}") for i in range(P)], *[f"l{i}{j}" for i, j in _pairs()], scale)
-    out = materialize(out, "mcd-params")
+    out = _small(out)
     for df in (cuts, centred, now, best):
         drop(df)
     return out
@@ -248,7 +254,7 @@ def fit(stats: DataFrame, robust: Robust) -> tuple[DataFrame, DataFrame]:
         F.col("source").alias("_source"),
         F.when(F.col("n") >= robust.least, F.concat_ws("\x1f", text("lang"), text("source"))).when(F.col("n_lang") >= robust.least, text("lang")).otherwise("").alias("grp"),
     )
-    named = materialize(named, "mcd-groups")
+    named = _small(named)
     rows = _grouped(good, named).withColumns(dict(zip(STATS, vector())))
     return named, robust_params(rows.select("grp", *STATS), robust)
 
