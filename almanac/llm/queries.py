@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import chunks, classifier, fim, langid, mixing, packing, rules, simhash, tokens, topk, urls
+from almanac.llm import chunks, classifier, divergence, fim, langid, mixing, packing, rules, simhash, tokens, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each output and of the text rebuilt from it."""
     out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
@@ -114,6 +118,29 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC,
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grid AS (SELECT lang, source, term, coalesce(c, 0)::HUGEINT AS c FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+p AS (SELECT lang, source, term, c, 1 + (1000000000 * (c + 5)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM grid JOIN sizes USING (lang)),
+whole AS (SELECT lang, term, sum(c)::HUGEINT AS c FROM grid GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000 * (c + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * v) AS q FROM whole JOIN sizes USING (lang)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 OP13_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
@@ -131,4 +158,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGIN
 FROM parts
 """
 
-ORACLES = {"op7_top_k": OP7_SQL, "op10_mixing": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLES = {"op7_top_k": OP7_SQL, "op10_mixing": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
