@@ -1,53 +1,65 @@
 """The divergence audit against a plain version; tries against sorted dictionaries."""
 
+import os
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from almanac.llm import divergence, queries
 from almanac.llm.divergence import Audit
-from almanac.llm.trie import Trie
+from almanac.llm.trie import merged
 
-TERMS = st.lists(st.sampled_from(["a", "ab", "abc", "abd", "b", "ba", "é", "éa", "è", "日本", "日", "z" * 40, "z" * 39 + "y"]), max_size=40)
+TERMS = st.lists(st.sampled_from(["a", "ab", "abc", "abd", "b", "ba", "é", "éa", "è", "日本", "日", "z" * 400, "z" * 399 + "y"]), max_size=40)
 
 
-def plain(terms):
-    out = defaultdict(lambda: [0, Counter()])
+def leaves(trie, names, paths):
+    """(path, documents, counters) of each leaf; the walk gives the same paths."""
+    assert trie.terms().to_pylist() == paths.to_pylist()
+    counts = [{names[s]: int(n) for s, n in zip(trie.source[a:b], trie.count[a:b])} for a, b in zip(trie.first, trie.first[1:])]
+    return list(zip(paths.to_pylist(), trie.docs.tolist(), counts))
+
+
+def built(terms):
+    """A trie of terms, the i-th in document i // 2 of source i // 2 % 3, and what it should hold."""
+    want = {}
     for i, t in enumerate(terms):
-        out[t.encode()][0] += 1
-        out[t.encode()][1][f"s{i % 3}"] += i
-    return out
+        docs, counts = want.setdefault(t.encode(), (set(), Counter()))
+        docs.add(i // 2)
+        counts[f"s{i // 2 % 3}"] += 1
+    doc = np.arange(len(terms)) // 2
+    trie, paths = divergence.counted(pa.array([t.encode() for t in terms], pa.large_binary()), doc, doc % 3)
+    return trie, ["s0", "s1", "s2"], paths, [(t, len(d), dict(c)) for t, (d, c) in sorted(want.items())]
 
 
 @settings(max_examples=150, deadline=None)
-@given(TERMS, TERMS)
-def test_tries_merge_like_dictionaries(one, two):
-    tries = []
-    for terms in (one, two):
-        trie = Trie()
-        for i, t in enumerate(terms):
-            trie.add(t.encode(), 1, {f"s{i % 3}": i})
-        assert list(trie.items()) == [(t, d, dict(c)) for t, (d, c) in sorted(plain(terms).items())]
-        tries.append(trie)
-    tries[0].merge(tries[1])
-    both = plain(one)
-    for t, (d, c) in plain(two).items():
-        both[t][0] += d
-        for s, n in c.items():
-            both[t][1][s] += n
-    assert list(tries[0].items()) == [(t, d, dict(c)) for t, (d, c) in sorted(both.items())]
-    assert tries[0].size == sum(len(c) for _, c in both.values())
-
-
-def test_long_terms_need_no_recursion():
-    trie, other = Trie(), Trie()
-    for n in range(1, 3000):
-        (trie if n % 2 else other).add(b"a" * n, 1, {"s": 1})
-    trie.merge(other)
-    assert [len(t) for t, _, _ in trie.items()] == list(range(1, 3000))
+@given(TERMS, TERMS, st.integers(1, 9))
+def test_tries_merge_like_dictionaries(one, two, size):
+    (a, names, a_paths, a_want), (b, _, b_paths, b_want) = built(one), built(two)
+    assert leaves(a, names, a_paths) == a_want
+    sizes = [len(x) - k for x, k in zip(a_paths.to_pylist(), a.shared)]
+    assert all(k == len(os.path.commonprefix([x, y])) for x, y, k in zip([b"", *a_paths.to_pylist()], a_paths.to_pylist(), a.shared)) and sum(sizes) == sum(map(len, a.label.to_pylist()))
+    pages = [x for t, paths in ((a, a_paths), (b, b_paths)) for page in divergence._pages("l", t, paths, names, Audit(page=size)) for x in divergence._tries(page)]
+    if pages:
+        both = dict((t, (d, Counter(c))) for t, d, c in a_want)
+        for t, d, c in b_want:
+            old = both.get(t, (0, Counter()))
+            both[t] = (old[0] + d, old[1] + Counter(c))
+        assert leaves(*merged([(t, own) for _, t, own in pages])) == [(t, d, dict(c)) for t, (d, c) in sorted(both.items())]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZz @[`{é日\x7f\x80 0"), max_size=12), max_size=8))
+def test_terms_are_found_in_bytes(texts):
+    parts = [t.encode() for t in texts]
+    terms, doc = divergence.found_terms(np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum([len(t) for t in parts]).astype(int))
+    upper = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    want = [(i, x.encode()) for i, t in enumerate(texts) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.translate(upper))]
+    assert list(zip(doc.tolist(), terms.to_pylist())) == want
 
 
 def slow(rows, p):
@@ -88,7 +100,7 @@ def test_whole_result_on_odd_rows(spark):
     """Nulls, empty texts, groups without terms, ties, repeated rows, long terms, several blocks, small tries and lots."""
     rows = documents()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "lang string, source string, text string, item string, value int").repartition(5)
-    for p in (Audit(), Audit(least=3, top=4), Audit(least=2, top=3, entries=5, block=2, lot=3), Audit(least=10_000)):
+    for p in (Audit(), Audit(least=3, top=4), Audit(least=2, top=3, lot=2000, page=3, range_mb=0.0001, part=2, block=2, step=3), Audit(least=10_000)):
         assert got(divergence.audit(docs, p)) == slow(rows, p)
 
 
@@ -98,7 +110,7 @@ def test_empty_table(spark):
 
 def test_parts_are_exact_for_large_counts():
     for c, n, v in ((8 * 10**14, 8 * 10**15, 10**6), (10**9, 3 * 10**9, 7), (0, 0, 3)):
-        assert int(divergence.parts_of(divergence.np.array([c]), divergence.np.array([n]), 5, v)[0]) == 1 + 10**9 * (c + 5) // (n + 5 * v)
+        assert int(divergence.parts_of(np.array([c]), np.array([n]), 5, v)[0]) == 1 + 10**9 * (c + 5) // (n + 5 * v)
 
 
 def test_query_equals_sql(spark):
