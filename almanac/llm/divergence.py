@@ -33,7 +33,7 @@ class Audit:
     least: int = 30
     prior: int = 5
     top: int = 50
-    lot: int = 32 << 20
+    lot: int = 8 << 20
     page: int = 2048
     range_mb: float = 8.0
     part: int = 16_384
@@ -49,13 +49,13 @@ def found_terms(data: np.ndarray, ends: np.ndarray) -> tuple[pa.LargeBinaryArray
     """(the terms of texts laid end to end in data, the text of each)."""
     low = LETTER[data]
     inside = low > 0
-    opens = inside & ~np.append(False, inside[:-1])
-    begin = np.append(0, ends[:-1])
-    begin = begin[begin < len(data)]
-    opens[begin] = inside[begin]
+    cut = np.zeros(len(data) + 1, dtype=bool)  # a text ends before such a byte
+    cut[ends] = True
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1] | cut[1:-1]
+    closes[:-1] &= ~inside[1:] | cut[1:-1]
     start = np.flatnonzero(opens)
-    bounds = np.append(np.cumsum(inside) - inside, inside.sum())[np.append(start, len(data))]
-    offsets = np.append(bounds[:-1], inside.sum()) if len(start) else np.zeros(1, dtype=np.int64)
+    offsets = np.append(0, np.cumsum(np.flatnonzero(closes) + 1 - start))
     terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(low[inside])])
     return terms, np.searchsorted(ends, start, side="right")
 
