@@ -71,31 +71,43 @@ def _two_means(a: Column, n: Column, b: Column, m: Column, squares: Column, z: f
     return F.when((n > 0) & (m > 0), F.abs(a / n - b / m) <= z * error + 1e-9).otherwise(True)
 
 
-SUMS = ("n", "labelled", "blocked", "deep", "deep2", "varied")
+SUMS = ("n", "paths", "deep", "deep2", "varied")
 
 
 def branch_tokens(stays: DataFrame, t: Templates) -> DataFrame:
     """(node, seg, token, paths) of the segments that stay, at most 1 / t.share of a node.
 
-    Sisters are compared within a class: segments of one shape and one rounded mean depth of what
-    follows, whose labelled URLs are mostly blocked, mostly allowed, or none. A branch is held against the sum of the others of its class:
-    its share of labelled URLs, their share of blocked ones, the mean depth of what follows, and the
-    share whose next segment has a digit. Branches that differ in none of these merge.
+    Sisters are compared within a class: segments of one shape and one rounded mean depth of what follows. A
+    branch is held against the sum of the others of its class: the mean depth of what follows, the share
+    whose next segment has a digit, and how many different paths there are to a URL. Branches that differ
+    in none of these merge, whether labelled or not.
+
+    Labels only part what would merge. A branch with t.evidence labelled URLs is on the side of most of them, and
+    stands alone if its share of blocked ones differs from that of the others of its side. Branches with fewer
+    go with a side that has t.purity of the labels of both, and else with each other.
     """
-    side = F.when(F.col("labelled") == 0, "u").when(2 * F.col("blocked") >= F.col("labelled"), "b").otherwise("a")
-    rows = stays.withColumn("_class", F.concat_ws(":", shape(F.col("seg")), side, F.floor(F.col("deep") / F.col("n") + 0.5).cast("string")))
+    rows = stays.withColumn("_class", F.concat_ws(":", shape(F.col("seg")), F.floor(F.col("deep") / F.col("n") + 0.5).cast("string")))
     sisters = Window.partitionBy("node", "_class")
     rows = rows.withColumns({f"_{c}": F.sum(c).over(sisters) for c in SUMS})
     own, all_ = {c: F.col(c) for c in SUMS}, {c: F.col(f"_{c}") for c in SUMS}
     rest = {c: all_[c] - own[c] for c in SUMS}
     alike = (
         (rest["n"] > 0)
-        & _two_rates(own["labelled"], own["n"], rest["labelled"], rest["n"], t.z)
-        & _two_rates(own["blocked"], own["labelled"], rest["blocked"], rest["labelled"], t.z)
         & _two_means(own["deep"], own["n"], rest["deep"], rest["n"], all_["deep2"], t.z)
         & _two_rates(own["varied"], own["n"], rest["varied"], rest["n"], t.z)
+        & _two_rates(own["paths"], own["n"], rest["paths"], rest["n"], t.z)
     )
-    return rows.select("node", "seg", F.when(alike, F.concat(F.lit(ALIKE), "_class")).otherwise(F.col("seg")).alias("token"), "paths")
+    enough = F.col("_alike") & (F.col("labelled") >= t.evidence)
+    side = F.when(enough, F.when(2 * F.col("blocked") >= F.col("labelled"), "b").otherwise("a"))
+    rows = rows.withColumn("_alike", alike).withColumn("_side", side)
+    of = lambda c, s: F.coalesce(F.sum(F.when(F.col("_side") == s, F.col(c))).over(sisters), F.lit(0))
+    rows = rows.withColumns({f"_{c}_{s}": of(c, s) for c in ("labelled", "blocked") for s in "ab"})
+    mine = lambda c: F.when(F.col("_side") == "b", F.col(f"_{c}_b")).otherwise(F.col(f"_{c}_a")) - F.col(c)
+    agrees = _two_rates(F.col("blocked"), F.col("labelled"), mine("blocked"), mine("labelled"), t.z)
+    heavy = lambda x, y: (F.col(f"_labelled_{x}") > 0) & (F.col(f"_labelled_{x}") >= t.purity * (F.col(f"_labelled_{x}") + F.col(f"_labelled_{y}")))
+    group = F.when(F.col("_side").isNotNull(), F.when(agrees, F.col("_side"))).when(heavy("b", "a"), "b").when(heavy("a", "b"), "a").otherwise("u")
+    token = F.when(F.col("_alike") & group.isNotNull(), F.concat(F.lit(ALIKE), "_class", F.lit(":"), group)).otherwise(F.col("seg"))
+    return rows.select("node", "seg", token.alias("token"), "paths")
 
 
 def template_paths(paths: DataFrame, t: Templates) -> DataFrame:

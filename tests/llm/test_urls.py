@@ -41,6 +41,40 @@ def same_mean(a, n, b, m, squares, z):
     return abs(a / n - b / m) <= z * sqrt(max(0, squares / (n + m) - r * r) * (1 / n + 1 / m)) + 1e-9
 
 
+def merges(stat, shapes, t):
+    """{segment: name of what it merges to, or None}. stat: of each segment n, paths, labelled, blocked, and the
+    depths and next segments of its URLs, one by one."""
+    out = dict.fromkeys(stat)
+    classes = defaultdict(list)
+    for s, x in stat.items():
+        classes[shapes[s], floor(sum(x["depth"]) / x["n"] + 0.5)].append(s)
+    for (form, depth), members in classes.items():
+        like = []
+        for s in members:
+            a, others = stat[s], [stat[o] for o in members if o != s]
+            if others:
+                m = sum(o["n"] for o in others)
+                depths = [d for o in others for d in o["depth"]]
+                like += [s] * (
+                    same_mean(sum(a["depth"]), a["n"], sum(depths), m, sum(d * d for d in a["depth"] + depths), t.z)
+                    and same_rate(sum(a["digit"]), a["n"], sum(sum(o["digit"]) for o in others), m, t.z)
+                    and same_rate(a["paths"], a["n"], sum(o["paths"] for o in others), m, t.z)
+                )
+        side = {s: "b" if 2 * stat[s]["blocked"] >= stat[s]["labelled"] else "a" for s in like if stat[s]["labelled"] >= t.evidence}
+        weight = Counter()
+        for s, which in side.items():
+            weight[which] += stat[s]["labelled"]
+        for s in like:
+            if s in side:
+                others = [stat[o] for o in side if o != s and side[o] == side[s]]
+                a, n, b, m = stat[s]["blocked"], stat[s]["labelled"], sum(o["blocked"] for o in others), sum(o["labelled"] for o in others)
+                name = side[s] if same_rate(a, n, b, m, t.z) else None
+            else:
+                name = next((w for w in "ba" if weight[w] and weight[w] >= t.purity * sum(weight.values())), "u")
+            out[s] = name and f"#={form}:{depth}:{name}"
+    return out
+
+
 def slow_templates(count, ruled, t):
     """The template of each (host, path), by plain recursion over nodes."""
     out = {}
@@ -52,25 +86,19 @@ def slow_templates(count, ruled, t):
         whole = sum(count[k] for k in members)
         for k in kids.pop("#.", []):
             out[k] = f"{name}/#."
+        n = {s: sum(count[k] for k in ks) for s, ks in kids.items()}
+        stays = [s for s in kids if n[s] >= t.least and n[s] >= t.share * whole]
         stat = {}
-        for seg, ks in kids.items():
-            left = {k: len(parts[k]) - at - 1 for k in ks}
-            stat[seg] = [
-                sum(count[k] for k in ks), sum(count[k] for k in ks if ruled[k][1]), sum(count[k] for k in ks if ruled[k][1] == "block"),
-                sum(count[k] * left[k] for k in ks), sum(count[k] * left[k] ** 2 for k in ks), sum(count[k] for k in ks if left[k] and re.search("[0-9]", parts[k][at + 1])),
-            ]
-        stays = [s for s in kids if stat[s][0] >= t.least and stat[s][0] >= t.share * whole]
-        side = {s: "u" if not stat[s][1] else "b" if 2 * stat[s][2] >= stat[s][1] else "a" for s in stays}
-        kind = {s: f"{slow_shape(s)}:{side[s]}:{floor(stat[s][3] / stat[s][0] + 0.5)}" for s in stays}
+        for s in stays:
+            each = [k for k in kids[s] for _ in range(count[k])]
+            stat[s] = {"n": n[s], "paths": len(kids[s]), "labelled": sum(ruled[k][1] is not None for k in each), "blocked": sum(ruled[k][1] == "block" for k in each)}
+            stat[s] |= {"depth": [len(parts[k]) - at - 1 for k in each], "digit": [bool(len(parts[k]) > at + 1 and re.search("[0-9]", parts[k][at + 1])) for k in each]}
+        token = merges(stat, {s: slow_shape(s) for s in stays}, t)
         merged = defaultdict(list)
         for s in stays:
-            cls = kind[s]
-            rest = [sum(stat[x][c] for x in stays if x != s and kind[x] == cls) for c in range(6)]
-            a, b = stat[s], rest
-            alike = b[0] > 0 and same_rate(a[1], a[0], b[1], b[0], t.z) and same_rate(a[2], a[1], b[2], b[1], t.z) and same_mean(a[3], a[0], b[3], b[0], a[4] + b[4], t.z) and same_rate(a[5], a[0], b[5], b[0], t.z)
-            merged[f"#={cls}" if alike else s] += kids[s]
-        for token, ks in merged.items():
-            grow(f"{name}/{token}", ks, at + 1)
+            merged[token[s] or s] += kids[s]
+        for name_, ks in merged.items():
+            grow(f"{name}/{name_}", ks, at + 1)
         rare = [k for s in kids if s not in stays for k in kids[s]]
         if rare:
             grow(f"{name}/#*", rare, at + 1)
@@ -138,6 +166,33 @@ def test_no_evidence_means_no_block(spark):
     assert all(out[i] == "allow" for i in out if i >= 200) and got(urls.judge_urls(df, rules)) == slow(rows, rules=rules)
 
 
+def test_unlabelled_branches_take_the_evidence_of_like_ones(spark):
+    """es and fr are blocked; it and pt look the same; q is deeper. On the second host half is allowed, so nothing is told."""
+    rules = (("block", "a.net/es/"), ("block", "a.net/fr/"), ("block", "b.net/es/"), ("allow", "b.net/fr/"))
+    rows = [(1000 * h + 100 * k + i, f"http://{host}/{lang}/{i * 7 + k}") for h, host in enumerate(("a.net", "b.net")) for k, lang in enumerate(("es", "fr", "it", "pt")) for i in range(50)]
+    rows += [(5000 + i, f"http://a.net/qq/x/{i}/y") for i in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    out = got(urls.judge_urls(df, rules))
+    assert out == slow(rows, rules=rules)
+    verdict = {i: v for i, _, _, _, v, _ in out}
+    assert all(v == ("block" if i < 400 or 1000 <= i < 1100 else "allow") for i, v in verdict.items()) and len(verdict) == 450
+
+
+def decided(rows, templates, t=urls.Templates()):
+    """(URLs without a rule, of these: on hosts with labels, in templates with evidence)."""
+    labels, hosts = Counter(), Counter()
+    for _, host, _, rule, _, template in rows:
+        labels[template] += rule is not None
+        hosts[host] += rule is not None
+    free = [r for r in rows if r[3] is None]
+    return len(free), sum(hosts[r[1]] > 0 for r in free), sum(labels[r[5]] >= t.evidence for r in free)
+
+
+def test_the_tree_decides_on_labelled_hosts(spark):
+    free, on_labelled, told = decided(got(queries.op9_url_filters(spark, "/root/testdata/sf0.1")), urls.Templates())
+    assert (free, on_labelled) == (1395, 651) and told >= 0.6 * on_labelled
+
+
 def test_trees_of_any_shape(spark):
     """Deep paths, segments that look like tokens, branches that merge or not, repeats: as the plain recursion has it."""
     rng = random.Random(2)
@@ -154,7 +209,7 @@ def test_trees_of_any_shape(spark):
     out = got(urls.judge_urls(df, rules))
     assert out == slow(rows, rules=rules)
     by = {i: tpl for i, *_, tpl in out}
-    assert by[3000] == "e.org/#=a9:u:1/#*/#." and len({by[3000 + i] for i in range(120)}) == 1 and by[4000] != by[3000]
+    assert by[3000] == "e.org/#=a9:1:u/#*/#." and len({by[3000 + i] for i in range(120)}) == 1 and by[4000] != by[3000]
 
 
 def test_sums_too_many_to_broadcast(spark, monkeypatch):
