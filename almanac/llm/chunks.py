@@ -110,7 +110,8 @@ def repeated_chunks(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     Chunks are written once. A digest's count and smallest id come from sums that tasks make
     before they shuffle; then the chunks meet the digests of several documents by join_hot(), so that
     a very frequent one gathers in no task. Where several documents have the smallest id,
-    or all have none, the smallest whole among them is found in the same way.
+    or all have none, the smallest whole among them is found in the same way. Rows equal in id and
+    text give equal chunks, of which all but one are dropped where a document's are gathered.
     """
     bounded_batches(docs.sparkSession)
     text = F.col(text_col)
@@ -153,10 +154,16 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass")
 
 
+def added_columns(docs: DataFrame) -> tuple[str, str]:
+    """What dedup_substrings() calls the columns spans and first_ids that it adds to those of docs."""
+    spans, first_ids = spare(docs, "spans", "first_ids")
+    return spans, first_ids
+
+
 def dedup_substrings(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated chunks cut out of the texts, and the columns spans (array of start and
     end, in words of the old text), first_ids (the documents that hold what was cut), after the
-    columns of docs; their names get underscores if docs has such columns.
+    columns of docs; their names get underscores if docs has such columns (added_columns()).
 
     The first occurrence, by id, null last, then digest of the whole text, and place, stays. Null
     texts stay null; texts without a word stay as they are. Ties can't arise: a place is one of a
@@ -166,7 +173,7 @@ def dedup_substrings(docs: DataFrame, key_col: str = "doc_id", text_col: str = "
     """
     spans_name, ids_name, key, whole, cuts = spare(docs, "spans", "first_ids", "_key", "_whole", "_cuts")
     found = repeated_chunks(docs, key_col, text_col)
-    lists = found.groupBy("doc_id", "whole").agg(F.collect_list(F.struct("start", "end")).alias("c"), F.array_sort(F.collect_set("first_id")).alias("ids"))
+    lists = found.groupBy("doc_id", "whole").agg(F.collect_set(F.struct("start", "end")).alias("c"), F.array_sort(F.collect_set("first_id")).alias("ids"))
     lists = materialize(lists.select(F.col("doc_id").alias(key), F.col("whole").alias(whole), merged_spans(F.col("c.start"), F.col("c.end")).alias(cuts), F.col("ids").alias(ids_name)), "spans")
     # digests and span lists grow with the documents, so neither is ever broadcast
     joined = docs.join(lists.hint("merge"), F.col(f"`{key_col}`").cast("long").eqNullSafe(F.col(key)) & (whole_digest(F.col(f"`{text_col}`")) == F.col(whole)), "left")

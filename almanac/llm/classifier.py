@@ -11,15 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import bounded_batches, crc32_bucket, materialize
+from almanac.llm.common import bounded_batches, crc32_bucket, drop, materialize
 
 
 @dataclass(frozen=True)
 class Boost:
-    """sample: labelled rows, at most about, that the driver learns from. bins: of each statistic.
+    """sample: labelled rows, at most, that the driver learns from, but `fewest` of each label. bins: of each statistic.
     trees, depth, rate: of boosting. least: rows in a leaf. ridge: added to a leaf's curvature."""
 
     sample: int = 20_000
+    fewest: int = 500
     bins: int = 64
     trees: int = 80
     depth: int = 4
@@ -162,14 +163,18 @@ def held_out() -> Column:
 def fit(stats: DataFrame, labels: DataFrame, p: Boost = Boost()) -> Trees:
     """stats: (doc_id, x). labels: (doc_id, quality). Learns from labelled rows that are not held out.
 
-    The driver gets p.sample of them, about, by a hash of the id; their number sets the share.
+    The driver gets p.sample of them at most, each label by its share, but p.fewest of it at least where it
+    has as many; of each label those with the least hashes of id and statistics. So rows that share
+    an id, or have none, are told apart, and rows equal in both count once.
     """
-    known = stats.where(~held_out()).join(labels.where("quality IN (0, 1)").select("doc_id", "quality"), "doc_id")
-    known = materialize(known.select("doc_id", "x", "quality"), "labelled")
-    n = known.count()
-    u = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) / float(1 << 20)
-    got = known.where(u < min(1.0, p.sample / max(1, n))).orderBy(F.xxhash64("doc_id", "quality"), "doc_id", "quality", "x").limit(2 * p.sample).select("x", "quality").toPandas()
-    return Trees(p).fit(np.stack(got.x.to_list()) if len(got) else np.zeros((0, N_STATS), np.float32), got.quality.to_numpy(dtype=float))
+    known = stats.where(~held_out()).join(labels.where("quality IN (0, 1)").select("doc_id", "quality").distinct(), "doc_id")
+    known = materialize(known.select("x", "quality", F.xxhash64("doc_id", "x", F.lit("quality")).alias("h")).dropDuplicates(["h", "quality"]), "labelled")
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    quota = {q: max(p.fewest, round(p.sample * n / sum(counts.values()))) for q, n in counts.items()}
+    parts = [known.where(F.col("quality") == q).orderBy("h").limit(n).toPandas() for q, n in sorted(quota.items())]
+    drop(known)
+    got = pd.concat(parts).sort_values(["h", "quality"]) if parts else None
+    return Trees(p).fit(np.stack(got.x.to_list()) if parts else np.zeros((0, N_STATS), np.float32), got.quality.to_numpy(dtype=float) if parts else np.zeros(0))
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: Boost = Boost()) -> DataFrame:

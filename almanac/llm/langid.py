@@ -8,13 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.common import bounded_batches, crc32_bucket
 
 UNKNOWN = "und"
-#: Documents of a label in the sample, about, however many labels share it; labels at most.
+#: Documents of a label in the sample, where it has as many, however many labels share it; labels at most.
 FEWEST, MOST_LABELS = 20, 10_000
 
 
@@ -181,10 +181,10 @@ def _windows(p: Net):
 def fit(docs: DataFrame, p: Net = Net()) -> Model | None:
     """docs: (doc_id, text, lang), the rows to learn from. None if no row has a label and a letter.
 
-    Every label is learned: the more there are, the fewer documents each gets, but FEWEST at least. The
-    driver gets windows of about p.sample documents, or FEWEST of each label, chosen by a hash of their
-    ids, whatever the size of docs. A column with more than MOST_LABELS values is none of
-    languages and is refused.
+    Every label is learned: the more there are, the fewer documents each gets, but FEWEST at least, or all that
+    it has. Of each label those with the least hashes of id and whole text are taken, whatever the size of
+    docs; so rows that share an id, or have none, are told apart, and rows equal in both count once. A
+    column with more than MOST_LABELS values is none of languages and is refused.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
     counts = rows.groupBy("lang").count().limit(MOST_LABELS + 1).collect()
@@ -193,10 +193,12 @@ def fit(docs: DataFrame, p: Net = Net()) -> Model | None:
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
     quota = max(FEWEST, min(p.quota, p.sample // len(counts)))
-    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, quota / r["count"])) for r in counts], "l string, share double")
-    u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    some = rows.join(F.broadcast(shares), F.col("lang") == F.col("l")).where(u < F.col("share"))
-    got = some.select("lang", F.explode(_windows(p)).alias("w"), F.xxhash64("doc_id", "w").alias("h")).orderBy("h", "w", "lang").limit(2 * max(p.sample, FEWEST * len(counts)) * p.per_doc).toPandas()
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", F.xxhash64("text"), F.lit("langid")))
+    least = Window.partitionBy("lang").orderBy("h")
+    few = hashed.select("lang", "h").distinct().withColumn("at", F.row_number().over(least)).where(F.col("at") <= quota)
+    edges = few.groupBy(F.col("lang").alias("l")).agg(F.max("h").alias("edge"))
+    some = hashed.join(F.broadcast(edges), F.col("lang") == F.col("l")).where("h <= edge").select("lang", "h", "text").dropDuplicates(["lang", "h"])
+    got = some.select("lang", "h", F.posexplode(_windows(p)).alias("at", "w")).orderBy("h", "lang", "at").select("lang", "w").toPandas()
     labels = sorted(r["lang"] for r in counts)
     x = np.frombuffer(b"".join(bytes(w).ljust(p.window, b"\0") for w in got.w), dtype=np.uint8).reshape(-1, p.window)
     return Model(labels, p).train(x, np.array([len(w) for w in got.w]), np.array([labels.index(v) for v in got.lang]))

@@ -33,9 +33,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its text without repeated chunks, and how many words that took away."""
-    out = chunks.dedup_substrings(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", F.size("spans").alias("n_spans"), removed.cast("long").alias("removed_words"), "first_ids", "spans", "text")
+    docs = table(spark, sf_dir, "documents")
+    out = chunks.dedup_substrings(docs)
+    spans, first_ids = (F.col(c) for c in chunks.added_columns(docs))
+    removed = F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", F.size(spans).alias("n_spans"), removed.cast("long").alias("removed_words"), first_ids.alias("first_ids"), spans.alias("spans"), "text")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Substring dedup against a plain model, and its promises on planted passages."""
 
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -115,3 +116,58 @@ def test_cut_words_keeps_the_rest():
 def test_query_gives_each_document(spark):
     out = queries.op4_substring_dedup(spark, "/root/testdata/sf0.001").collect()
     assert len(out) == 200 and all(sum(s.end - s.start for s in r.spans) == r.removed_words for r in out)
+
+
+def slow_dedup(rows, whole):
+    """{(id, text): (text without repeats, spans, first ids)} by reading documents one after the other; whole: digests
+    that order texts of one id."""
+    docs = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, whole[r[1]]))
+    holders, out = {}, {}
+    for i, t in docs:
+        spans, ids, own = [], set(), set()
+        for s, e, w in slow_chunks(t):
+            if w in own:
+                spans.append((s, e))
+                ids.add(i)
+            elif w in holders:
+                spans.append((s, e))
+                ids.add(holders[w])
+            own.add(w)
+        for w in own:
+            holders.setdefault(w, i)
+        gone = {k for s, e in spans for k in range(s, e)}
+        at, k, kept = 0, 0, []
+        for piece in re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|^[\x20\x09-\x0D]+", t):
+            if piece[0] in " \t\n\v\f\r":
+                kept.append(piece)
+                continue
+            if k not in gone:
+                kept.append(piece)
+            k += 1
+        out[i, t] = "".join(kept), chunks.merge_spans([s for s, _ in spans], [e for _, e in spans]), sorted(x for x in ids if x is not None)
+    return out
+
+
+def test_whole_result_against_reading_one_after_the_other(spark):
+    """300 documents with shared passages, repeated rows, ids that repeat or are missing, repeats inside a document."""
+    rng = random.Random(11)
+    passages, rows = [words(rng, n) for n in (20, 35, 60, 90, 400)], []
+    for i in range(220):
+        parts = [words(rng, rng.choice([0, 3, 17, 40, 120])) if rng.random() < 0.6 else rng.choice(passages) for _ in range(rng.randint(1, 5))]
+        rows.append((rng.choice([None, None, 3, i, i, i, i // 2]), rng.choice([" ", "\n", " \t "]).join(parts)))
+    rows += rng.choices(rows, k=60) + [rows[0]] * 15 + [(None, None), (4, ""), (5, " \n"), (6, "é " * 60), (6, "é " * 60 + "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    whole = {r.text: r.w for r in df.select("text", chunks.whole_digest(df.text).alias("w")).collect()}
+    want = slow_dedup(rows, whole)
+    got = chunks.dedup_substrings(df).join(df.groupBy("doc_id").count(), "doc_id", "left").collect()
+    by = sorted((str(r.doc_id), r.text or "", [tuple(s) for s in r.spans], r.first_ids) for r in got)
+    assert by == sorted((str(i), *(want[i, t] if t is not None else ("", [], []))) for i, t in rows)
+    assert sum(bool(s) for *_, s, _ in by) > 100
+
+
+def test_many_equal_rows_without_an_id(spark):
+    text = words(random.Random(12), 900)
+    df = spark.createDataFrame([(None, text, ["x"])] * 500 + [(1, "other words " + text, [])], "doc_id long, text string, spans array<string>")
+    assert chunks.added_columns(df) == ("spans_", "first_ids")
+    out = chunks.dedup_substrings(df).groupBy("doc_id", "text", "spans_").count().collect()
+    assert sorted(r["count"] for r in out) == [1, 500]

@@ -90,3 +90,16 @@ def test_odd_tables(spark):
     assert langid.language_id(df.where("false"), p).collect() == []
     assert {r.lang_pred for r in langid.language_id(df.withColumn("lang", F.lit(None).cast("string")), p).collect()} == {"und"}
     assert langid.language_id(df.union(df), p).count() == 2 * len(rows)
+
+
+def test_shared_and_missing_ids(spark):
+    """All rows of one id, or of none, and a label that only rows without an id have: each label is learned."""
+    one = [("the and of " * (3 + i % 40) + str(i), "en") for i in range(60)]
+    two = [("der die das ü " * (3 + i % 40) + str(i), "de") for i in range(60)]
+    p = langid.Net(steps=60)
+    for key in (8, 13, None):
+        df = spark.createDataFrame([(key, t, la) for t, la in one + two], "doc_id long, text string, lang string")
+        assert langid.fit(df, p).labels == ["de", "en"] and langid.language_id(df, p).count() == 120
+    mixed = spark.createDataFrame([(i, *r) for i, r in enumerate(one)] + [(None, *r) for r in two] + [(7, *one[0])] * 3000, "doc_id long, text string, lang string")
+    out = langid.identify(mixed, langid.fit(mixed, langid.Net(steps=150)))
+    assert out.where("doc_id IS NULL AND lang_pred = 'de'").count() == 60 and out.where("lang_pred = 'en'").count() == 3060
