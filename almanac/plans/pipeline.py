@@ -15,7 +15,7 @@ from almanac.operators import budget, present, resolve, tables
 from almanac.operators.prepare import condense, html_to_text, reject_reason
 from almanac.schemas import EVENT_COLUMNS, REPLY
 from almanac.settings import EVENT_TYPES, REGIONS
-from almanac.sources.store import read_store, write_rejects, write_store
+from almanac.sources.store import EventStore, read_store, write_rejects, write_store
 
 
 @dataclass
@@ -86,6 +86,22 @@ def run(store: DataFrame, incoming: DataFrame, today: date, rules: TopicRules =
     return Result(left, reject_log(judged.where("NOT over")), stats)
 
 
+def run_incremental(store: EventStore, incoming: DataFrame, today: date, rules: TopicRules = TopicRules(), types: Labels = EVENT_TYPES, label: str = "run") -> Result:
+    """run() on the rows of the store that incoming can touch, and a new version of the store with their outcome.
+
+    Rows that share neither a first nor a last day with an incoming row meet none, so only buckets with such days are
+    read and written anew, with those of which some events are over; buckets that are over as a whole are dropped
+    unread, and all other files go on as they are. What is not read stays as its last dedup left it.
+    """
+    good = tables.materialize(judge(incoming, today, rules).where("verdict = 'ok'").select("date_start", "date_end"), "incoming-days")
+    gone, some = store.over(today)
+    open_ = (store.touched(good) | some) - gone
+    result = run(store.read(buckets=open_), incoming, today, rules, types)
+    dropped = sum(x["rows"] for b, x in store.manifest().items() if b in gone)
+    store.replace(open_ | gone, result.store, label)
+    return Result(result.store, result.rejects, result.stats.withColumn("entfernt", F.col("entfernt") + dropped))
+
+
 def publish(result: Result, root: str, today: date, regions: Labels = REGIONS, types: Labels = EVENT_TYPES, dry_run: bool = False) -> None:
     """Writes the reject log, and, unless it is a dry run, a new version of the store and the page, below root.
     A staging run is one with a root of its own and an empty store."""

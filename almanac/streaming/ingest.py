@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from almanac.functions.classify import TopicRules
-from almanac.plans.pipeline import run
-from almanac.sources.store import read_store, versions, write_store
+from almanac.plans.pipeline import run_incremental
+from almanac.sources.store import EventStore
 
 
 def ingest_stream(events: DataFrame, root: str, checkpoint: str, today: date, rules: TopicRules = TopicRules()) -> StreamingQuery:
-    """Runs every micro-batch of events against the newest version of the store and writes the next, labelled with
-    the stream's id and the batch's number. A batch whose version is there already is not run again, so a
+    """Runs every micro-batch of events against the buckets of the newest version that it touches and writes the next,
+    labelled with the stream's id and the batch's number; then buckets of many files are made anew and old versions
+    go. A batch whose version is there already is not run again, so a
     batch that is tried again is merged once; a stream with a new checkpoint has a new id and goes on from
     what the store holds."""
 
@@ -23,7 +24,10 @@ def ingest_stream(events: DataFrame, root: str, checkpoint: str, today: date, ru
         spark = batch.sparkSession
         stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         label = f"{stream}-{number}"
-        if not any(v.endswith(label) for v in versions(spark, root)):
-            write_store(run(read_store(spark, root), batch, today, rules).store, root, label)
+        store = EventStore(spark, root)
+        if not any(v.endswith(label) for v in store.versions()):
+            run_incremental(store, batch, today, rules, label=label)
+            store.compact()
+            store.expire()
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
