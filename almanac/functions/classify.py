@@ -26,10 +26,10 @@ def _first_hit(labels: Labels, hits) -> Column:
     return F.get(F.filter(keys, hits), F.lit(0))["label"]
 
 
-def event_type(title: Column, types: Labels = EVENT_TYPES) -> Column:
+def event_type(title: Column, types: Labels = EVENT_TYPES, form=clean) -> Column:
     """The first label with a keyword in the title; null if none. Keywords of six letters or more and
-    those with a blank match anywhere, shorter ones a whole word."""
-    return _let(clean(title), lambda t: _let(words(t), lambda ws: _first_hit(types, lambda k: F.when(k["short"], F.array_contains(ws, k["word"])).otherwise(F.contains(t, k["word"])))))
+    those with a blank match anywhere, shorter ones a whole word. form: text.cleaned, if the title is clean already."""
+    return _let(form(title), lambda t: _let(words(t), lambda ws: _first_hit(types, lambda k: F.when(k["short"], F.array_contains(ws, k["word"])).otherwise(F.contains(t, k["word"])))))
 
 
 def first_label(cleaned: Column, labels: Labels) -> Column:
@@ -38,11 +38,13 @@ def first_label(cleaned: Column, labels: Labels) -> Column:
 
 def event_region(location: Column, url: Column, regions: Labels = REGIONS, online: Sequence[str] = ONLINE_WORDS) -> Column:
     """`online`, else the first region named in the place, else in the URL's host, else `sonstige`."""
-    place = clean(location)
-    far = F.lit(False)
-    for w in online:
-        far = far | F.contains(place, F.lit(w))
-    return F.when(far, "online").otherwise(F.coalesce(first_label(place, regions), first_label(clean(host(url)), regions), F.lit("sonstige")))
+    def named(place: Column) -> Column:
+        far = F.lit(False)
+        for w in online:
+            far = far | F.contains(place, F.lit(w))
+        return F.when(far, "online").otherwise(first_label(place, regions))
+
+    return F.coalesce(_let(clean(location), named), first_label(clean(host(url)), regions), F.lit("sonstige"))
 
 
 def event_kind(title: Column, description: Column, types: Labels = EVENT_TYPES) -> Column:

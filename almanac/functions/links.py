@@ -20,9 +20,9 @@ def host_and_path(url: Column) -> Column:
     return F.lower(F.concat(host(url), F.regexp_extract(F.coalesce(url, F.lit("")), REST, 1)))
 
 
-def event_id(title: Column, date_start: Column, url: Column) -> Column:
-    """md5 of the cleaned title, first day and host. The place is not part of it."""
-    return F.md5(F.concat_ws("|", clean(title), F.coalesce(date_start.cast("string"), F.lit("")), host(url)))
+def event_id(title: Column, date_start: Column, url: Column, form=clean) -> Column:
+    """md5 of the cleaned title, first day and host. The place is not part of it. form: cleaned, if the title is clean already."""
+    return F.md5(F.concat_ws("|", form(title), F.coalesce(date_start.cast("string"), F.lit("")), host(url)))
 
 
 def rotation_key(url: Column, period: Column) -> Column:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from almanac.functions.entities import unescape
 from almanac.settings import DAY_WORDS, MONTH_WORDS, STOP_WORDS
 
 #: Letters and digits of a word, as Java's and RE2's classes both have them.
@@ -36,18 +34,9 @@ def date_pattern() -> str:
 DATES = date_pattern()
 
 
-@F.pandas_udf(T.StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    """Entities decoded. For texts that hold an ampersand; see decode_entities()."""
-    return s.map(lambda x: html.unescape(x) if x is not None else None)
-
-
 def decode_entities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """df with entities in columns decoded; only rows that hold an ampersand go through Python."""
-    has = F.lit(False)
-    for c in columns:
-        has = has | F.coalesce(F.contains(F.col(c), F.lit("&")), F.lit(False))
-    return df.where(~has).unionByName(df.where(has).withColumns({c: unescape(F.col(c)) for c in columns}))
+    """df with entities in columns decoded."""
+    return df.withColumns({c: unescape(F.col(c)) for c in columns})
 
 
 def strip(s: Column) -> Column:
@@ -55,17 +44,20 @@ def strip(s: Column) -> Column:
 
 
 def clean(s: Column) -> Column:
-    """The form in which texts are compared: lower case, signs and runs of white space as one
-    blank. Null becomes empty. For texts whose entities are decoded: a row filter, which keeps the others
-    out of Python, must do that before (decode_entities, resolve.normalize)."""
-    low = F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), SIGN_CLASS, " ")
+    """The form in which texts are compared: entities decoded, lower case, signs and runs of white space as one
+    blank. Null becomes empty."""
+    low = F.regexp_replace(F.lower(unescape(F.coalesce(s, F.lit("")))), SIGN_CLASS, " ")
     return strip(F.regexp_replace(low, r"(?U)\s+", " "))
 
 
+def cleaned(s: Column) -> Column:
+    """Of a text in that form: as it is, null as empty."""
+    return F.coalesce(s, F.lit(""))
+
+
 def with_clean(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """df with new columns {new: old}: the form for comparison of old, its entities decoded first."""
-    copies = df.withColumns({new: F.col(old) for new, old in columns.items()})
-    return decode_entities(copies, list(columns)).withColumns({new: clean(F.col(new)) for new in columns})
+    """df with new columns {new: old}: the form for comparison of old."""
+    return df.withColumns({new: clean(F.col(old)) for new, old in columns.items()})
 
 
 def stem(word: Column) -> Column:
@@ -79,9 +71,9 @@ def words(cleaned: Column, least: int = 3) -> Column:
     return F.regexp_extract_all(cleaned, F.lit(f"{LETTER}{{{least},}}"), F.lit(0))
 
 
-def tokens(s: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
-    """Distinct stems of the words of three letters or more that are not stop words."""
-    found = F.array_except(words(clean(s)), F.array(*[F.lit(w) for w in stop]))
+def tokens(s: Column, stop: Sequence[str] = STOP_WORDS, form=clean) -> Column:
+    """Distinct stems of the words of three letters or more that are not stop words. form: cleaned, if s is clean already."""
+    found = F.array_except(words(form(s)), F.array(*[F.lit(w) for w in stop]))
     return F.array_distinct(F.transform(found, stem))
 
 

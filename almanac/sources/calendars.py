@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.functions.dates import calendar_date
+from almanac.functions.entities import unescape
 from almanac.functions.links import host
-from almanac.functions.text import strip, unescape
+from almanac.functions.text import strip
 from almanac.settings import FEED_BLOCKLIST, GENERATOR_FEEDS, GENERATOR_HINT, MAX_DESCRIPTION, MAX_FEED_CANDIDATES, MAX_FEED_EVENTS, MAX_ICS_LINKS, MIN_FEED_EVENTS
 
 #: Characters of a page in which a generator's mark is looked for.
@@ -91,12 +92,8 @@ def read_calendar(feeds: DataFrame, most: int = MAX_FEED_EVENTS) -> DataFrame:
 
     raw = ended.select("feed_url", "page_url", "block", *[prop(n).alias(n.lower()) for n in ("SUMMARY", "LOCATION", "DESCRIPTION", "URL", "DTSTART", "DTEND")])
     texts = ("summary", "location", "description", "url")
-    has = F.lit(False)
-    for c in texts:
-        has = has | F.coalesce(F.contains(c, F.lit("&")), F.lit(False))
-    raw = raw.withColumns({c: without_escapes(F.coalesce(c, F.lit(""))) for c in texts})
-    coded = raw.where(has).withColumns({c: unescape(F.col(c)) for c in texts})
-    rows = raw.where(~has).unionByName(coded).withColumns({c: one_line(F.col(c)) for c in texts}).withColumns({"s": calendar_date(F.col("dtstart")), "e": calendar_date(F.col("dtend"))})
+    raw = raw.withColumns({c: one_line(unescape(without_escapes(F.coalesce(c, F.lit(""))))) for c in texts})
+    rows = raw.withColumns({"s": calendar_date(F.col("dtstart")), "e": calendar_date(F.col("dtend"))})
     start = F.col("s.day")
     end = F.when(F.col("s.all_day"), F.date_sub("e.day", 1)).otherwise(F.col("e.day"))
     built = rows.where((F.col("summary") != "") & start.isNotNull()).select(

@@ -1,0 +1,27 @@
+"""Entities decoded by expressions against the standard library."""
+
+import html
+import random
+
+from pyspark.sql import functions as F
+
+from almanac.functions import entities, text
+
+
+def test_every_name_and_number(spark):
+    rng = random.Random(3)
+    texts = [f"a&{n}b" for n in html.entities.html5] + [f"&{n.rstrip(';')} x&{n}" for n in html.entities.html5] + [f"&{n[: rng.randint(1, len(n))]};" for n in html.entities.html5]
+    numbers = [*range(0, 300), 0x7F, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFEFF, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x10FFFD, 0x10FFFF, 0x110000, 10**7, 10**12, 10**40]
+    texts += [f"&#{n};é&#x{n:x}&#X{n:X};&#000{n}z" for n in numbers]
+    texts += ["", "&", "&&", "&;", "&#", "&#;", "&#x;", "& amp", "&amp", "&ampx;", "&notit;", "&notin;", "&am", "&" + "a" * 40 + ";", "&amp;lt;", "x&\n&lt\t", "&é;", None]
+    texts += ["".join(rng.choice(["&", "amp", ";", "lt", "#", "x", "1", "65", " ", "ü", "not", "in", "frac12"]) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    got = {r.i: r.u for r in df.select("i", entities.unescape(F.col("t")).alias("u")).collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != (None if t is None else html.unescape(t))] == []
+
+
+def test_clean_decodes_and_no_python_runs(spark):
+    df = spark.createDataFrame([("Gr&auml;ber &amp;ndash; &quot;Alt&quot;&nbsp;&#8211; neu",), (None,)], "t string")
+    out = df.select(text.clean(F.col("t")).alias("c"))
+    assert [r.c for r in out.collect()] == ["gräber &ndash; alt neu", ""]
+    assert "Python" not in text.decode_entities(df, ["t"])._jdf.queryExecution().toString()

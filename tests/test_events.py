@@ -184,7 +184,7 @@ def test_order_and_ids_of_two_passes(spark):
 
 
 def features_of(spark, df):
-    return resolve._rows(resolve.with_features(df).withColumn("new_id", links.event_id(F.col("c_title"), F.col("date_start"), F.col("url"))).toPandas(), ("ordinal",))
+    return resolve._rows(resolve.with_features(df).withColumn("new_id", links.event_id(F.col("c_title"), F.col("date_start"), F.col("url"), text.cleaned)).toPandas(), ("ordinal",))
 
 
 def fold_plainly(groups):
