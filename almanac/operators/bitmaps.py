@@ -7,7 +7,6 @@ size of an intersection, bucket by bucket. New rows come as an index of their ow
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -43,42 +42,22 @@ def matching(events: DataFrame, condition: Column, row: str = "ordinal") -> Data
     return events.where(condition).select(F.bitmap_bucket_number(n).alias("bucket"), F.bitmap_bit_position(n).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def _of(index: DataFrame, condition: Column) -> DataFrame:
-    return index.where(condition).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-
-
-def _windows(index: DataFrame, today: date, days: int) -> list[DataFrame]:
-    last = str(today + timedelta(days=days))
-    return [_of(index, (F.col("dim") == "start") & (F.col("value") <= last)), _of(index, (F.col("dim") == "end") & (F.col("value") >= str(today)))]
-
-
-def _meet(sets: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """(keys, bits): intersections within buckets, of those buckets that all sets have."""
-    out = sets[0].withColumn("_of", F.lit(0))
-    for i, s in enumerate(sets[1:], 1):
-        lead = sets[0].select(*keys).distinct()
-        out = out.unionByName((s if set(keys) <= set(s.columns) else s.join(lead, "bucket")).select(*keys, "bits").withColumn("_of", F.lit(i)))
-    met = out.groupBy(*keys).agg(F.bitmap_and_agg("bits").alias("bits"), F.countDistinct("_of").alias("_n"))
-    return met.where(F.col("_n") == len(sets)).drop("_n")
-
-
 def facets(index: DataFrame, today: date, region: str = "", kind: str = "", days: int = 0, found: DataFrame | None = None) -> DataFrame:
-    """(dim, value, n) as present.facets() has them. found: (bucket, bits) of what a search lets pass, if there is one."""
-    chosen = {"region": [_of(index, (F.col("dim") == "region") & (F.col("value") == region))] if region else [], "kind": [_of(index, (F.col("dim") == "kind") & (F.col("value") == kind))] if kind else []}
-    chosen |= {"time": _windows(index, today, days) if days else [], "search": [found] if found is not None else []}
-    parts = []
-    for dim in (*DIMS, "time"):
-        others = [s for d, sets in chosen.items() if d != dim for s in sets]
-        if dim == "time":
-            values = []
-            for d in WINDOWS:
-                window = _meet(_windows(index, today, d), ["bucket"])
-                values.append(window.select(F.lit(str(d)).alias("value"), "bucket", "bits"))
-            own = values[0].unionByName(values[1]).unionByName(values[2])
-            names = index.sparkSession.createDataFrame([(str(d),) for d in WINDOWS], "value string")
-        else:
-            own = index.where(F.col("dim") == dim).select("value", "bucket", "bits")
-            names = own.select("value").distinct()
-        met = _meet([own, *others], ["value", "bucket"]).groupBy("value").agg(F.sum(F.bitmap_count("bits")).alias("n"))
-        parts.append(names.join(met, "value", "left").select(F.lit(dim).alias("dim"), "value", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(dim, value, n) as present.facets() has them, for values that occur. found: (bucket, bits) of what a search lets pass,
+    if there is one. The index is read twice: for the unions of each bucket, and for what is met with them."""
+    if found is not None:
+        index = index.unionByName(found.select(F.lit("search").alias("dim"), F.lit("").alias("value"), "bucket", "bits"))
+    is_ = lambda dim, cond: F.bitmap_or_agg(F.when((F.col("dim") == dim) & cond, F.col("bits")))
+    until = {f"from{d}": is_("start", F.col("value") <= str(today + timedelta(days=d))) for d in {*WINDOWS, days}}
+    sets = {"region": is_("region", F.col("value") == region), "kind": is_("kind", F.col("value") == kind), "search": is_("search", F.lit(True)), "until": is_("end", F.col("value") >= str(today)), **until}
+    unions = index.groupBy("bucket").agg(*[c.alias(f"_{k}") for k, c in sets.items()])
+    chosen = {"region": ["_region"] if region else [], "kind": ["_kind"] if kind else [], "time": [f"_from{days}", "_until"] if days else [], "search": ["_search"] if found is not None else []}
+    others = lambda dim: [F.col(c) for d, cs in chosen.items() if d != dim for c in cs]
+    own = index.where(F.col("dim").isin(*DIMS)).join(unions, "bucket")
+    cells = [own.where(F.col("dim") == d).select("dim", "value", "bucket", F.array("bits", *others(d)).alias("sets")) for d in DIMS]
+    times = F.array(*[F.struct(F.lit("time").alias("dim"), F.lit(str(d)).alias("value"), F.array(F.col(f"_from{d}"), F.col("_until"), *others("time")).alias("sets")) for d in WINDOWS])
+    cells.append(unions.select("bucket", F.explode(times).alias("x")).select("x.dim", "x.value", "bucket", "x.sets"))
+    every = cells[0].unionByName(cells[1]).unionByName(cells[2])
+    met = every.select("dim", "value", "bucket", F.explode("sets").alias("bits")).groupBy("dim", "value", "bucket").agg(F.bitmap_count(F.bitmap_and_agg("bits")).alias("n"))
+    none = index.sparkSession.createDataFrame([("time", str(d), 0) for d in WINDOWS], "dim string, value string, n long")
+    return met.select("dim", "value", "n").unionByName(none).groupBy("dim", "value").agg(F.sum("n").cast("long").alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import classify, dates, links, text
 from almanac.operators import bitmaps, budget, prepare, present, resolve
+from almanac.operators.tables import materialize
 from almanac.plans import pipeline
 from almanac.settings import EVENT_TYPES, REGION_LABELS, TOPICS, TYPE_LABELS, VENUES
 from almanac.settings import REGIONS as REGIONS_ALL
@@ -247,8 +248,8 @@ def facet_leave_one_out(spark, d):
 def facets_by_bitmaps(spark, d):
     """The same from an index of bitmaps; only the search reads the events."""
     events = tagged(spark, d)
-    found = bitmaps.matching(events, present.predicates(TODAY, search=CHOICE["search"])["search"])
-    return bitmaps.facets(bitmaps.build(events), TODAY, CHOICE["region"], CHOICE["kind"], CHOICE["days"], found)
+    found = materialize(bitmaps.matching(events, present.predicates(TODAY, search=CHOICE["search"])["search"]), "found")
+    return bitmaps.facets(materialize(bitmaps.build(events), "bitmaps"), TODAY, CHOICE["region"], CHOICE["kind"], CHOICE["days"], found)
 
 
 @query(f"WITH {LISTING}, {TAGGED} SELECT ordinal FROM tagged WHERE {PASS_SEARCH} AND region = 'nord' AND kind = 'kurz' AND {PASS_TIME}")
