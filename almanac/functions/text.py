@@ -1,4 +1,4 @@
-"""Cleaning, stems, token sets and places of matches in texts."""
+"""Cleaning, stems, token sets and the pattern of dates in texts."""
 
 from __future__ import annotations
 
@@ -83,20 +83,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(some, F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))).otherwise(0.0)
 
 
-def match_spans(s: Column, pattern: str = DATES) -> Column:
-    """(s, e) of each match of a Java pattern, in code points from 0, ends exclusive."""
-    hits = F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), F.length)
-    rests = F.transform(F.split(s, pattern, -1), F.length)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.get(rests, i)
-        end = begin + F.get(hits, i)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("s"), end.alias("e")))).alias("out"))
-
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), state, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
-
-
 def capitalize_label(key: Column, labels: dict[str, str]) -> Column:
     """The label of a key, else the key with its first letter in upper case."""
     known = F.lit(None).cast("string")

@@ -54,6 +54,17 @@ def _quiet_drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names built on names that clash with none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component) for every node that
     is not the smallest of its component; component is the smallest node.

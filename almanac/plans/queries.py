@@ -176,9 +176,37 @@ def problems_by_kind(spark, d):
     return problem_report(bad).select("kind", "n", F.array_join("urls", " ").alias("urls"))
 
 
-@query()
+def sql_capped(c: str, pattern: str, most: int) -> str:
+    """struct of a text cut before match most + 1 and its matches."""
+    found, rests = f"regexp_extract_all({c}, '{pattern}')", f"string_split_regex({c}, '{pattern}')"
+    lengths = lambda x, k: f"coalesce(list_sum(list_transform({x}[1:{k}], lambda p: length(p))), 0)"
+    begin = f"CAST({lengths(found, most)} + {lengths(rests, most + 1)} AS BIGINT)"
+    return f"CASE WHEN len({found}) > {most} THEN {{'text': substr({c}, 1, {begin}), 'hits': {most}}} ELSE {{'text': {c}, 'hits': len({found})}} END"
+
+
+CONDENSED = {"limit": 1000, "most": 5, "before": 40, "after": 80}
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, text, regexp_extract_all(text, '{NUMBERS}') AS hs, string_split_regex(text, '{NUMBERS}') AS rs FROM documents WHERE length(text) > {CONDENSED['limit']}),
+x AS (SELECT doc_id, text, unnest(range(1, len(hs) + 1)) AS i, unnest(list_transform(hs, lambda p: length(p))) AS h, unnest(list_transform(rs[1:len(hs)], lambda p: length(p))) AS r FROM l),
+e AS (SELECT doc_id, i, h, length(text) AS m, sum(h + r) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM x),
+w AS (SELECT doc_id, i, greatest(e - h - {CONDENSED['before']}, 0) AS s, least(e + {CONDENSED['after']}, m) AS e FROM e),
+g AS (SELECT *, CASE WHEN s <= lag(e) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM w),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
+islands AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM n GROUP BY doc_id, island),
+f AS (SELECT *, sum(e - s + 7) OVER (PARTITION BY doc_id ORDER BY s) <= {CONDENSED['limit']} AS fits FROM islands),
+c AS (SELECT f.doc_id, f.s, substr(text, CAST(f.s + 1 AS BIGINT), CAST(f.e - f.s AS BIGINT)) AS chunk FROM f JOIN l USING (doc_id) WHERE fits),
+k AS (SELECT *, coalesce(sum(len(regexp_extract_all(chunk, '{NUMBERS}'))) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hits FROM c),
+j AS (SELECT doc_id, string_agg(chunk, ' [...] ' ORDER BY s) AS t FROM k WHERE hits < {CONDENSED['most']} GROUP BY doc_id),
+o AS (SELECT doc_id, min(s) AS s FROM islands GROUP BY doc_id),
+y AS (SELECT l.doc_id, o.s IS NULL AS none, coalesce(j.t, substr(text, CAST(coalesce(o.s, 0) + 1 AS BIGINT), {CONDENSED['limit']})) AS t FROM l LEFT JOIN o USING (doc_id) LEFT JOIN j USING (doc_id)
+  UNION ALL SELECT doc_id, false, text FROM documents WHERE length(text) <= {CONDENSED['limit']} OR text IS NULL),
+z AS (SELECT doc_id, CASE WHEN none THEN {{'text': t, 'hits': 0}} ELSE {sql_capped('t', NUMBERS, CONDENSED['most'])} END AS x FROM y)
+SELECT doc_id, x.text AS text, CAST(x.hits AS INT) AS hits FROM z"""
+)
 def condensed(spark, d):
-    out = prepare.condense(table(spark, d, "documents").select("doc_id", "text"), limit=1000, most=5, pattern=NUMBERS, before=40, after=80)
+    out = prepare.condense(table(spark, d, "documents").select("doc_id", "text"), pattern=NUMBERS, **CONDENSED)
     return out.select("doc_id", "text", "hits")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 from datetime import date
 
@@ -84,6 +85,43 @@ def test_condense(spark):
     assert text_gap(cond(far, limit=1000).text) == 1
 
 
+def plain_condense(text, pattern, limit, most, before, after):
+    """The same by marking letters: a bit for each letter or gap between letters that a window covers."""
+    at = [m.span() for m in re.finditer(pattern, text)]
+    if len(text) > limit:
+        if not at:
+            return text[:limit], 0
+        covered = bytearray(2 * len(text) + 1)
+        for s, e in at:
+            s, e = max(s - before, 0), min(e + after, len(text))
+            covered[2 * s : 2 * e + 1] = b"\1" * (2 * (e - s) + 1)
+        windows = [text[m.start() // 2 : m.end() // 2] for m in re.finditer(b"\1+", bytes(covered))]
+        parts, hits = [], 0
+        while len(parts) < len(windows) and hits < most and sum(len(p) + 7 for p in parts) + len(windows[len(parts)]) + 7 <= limit:
+            parts.append(windows[len(parts)])
+            hits += len(re.findall(pattern, parts[-1]))
+        text = " [...] ".join(parts) if parts else text[covered.index(1) // 2 :][:limit]
+        at = [m.span() for m in re.finditer(pattern, text)]
+    return (text[: at[most][0]], most) if len(at) > most else (text, len(at))
+
+
+def test_condense_is_that_of_a_plain_model(spark):
+    """Random texts, a text with 150,000 matches, empty ones, one long text in a third of the rows, clashing columns."""
+    rng = random.Random(11)
+    pattern = "[0-9]{1,2}[.][0-9]{1,2}|[0-9]{3,}"
+    piece = lambda: rng.choice(["1.2", "2024", "ä" * rng.randint(0, 30), " ", "💐 x", "7", "b" * rng.randint(0, 60), "."])
+    texts = ["".join(piece() for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += ["", "x" * 500, "3.4 " * 150_000, "y" * 90_000 + "5.6" + "y" * 90_000] + [max(texts[:300], key=len)] * 150
+    df = spark.createDataFrame([(i, t, "a", 1, 2) for i, t in enumerate(texts)] + [(-1, None, "a", 1, 2)], "i int, body string, _key string, first int, _windows int").repartition(3)
+    k = dict(limit=200, most=4, before=15, after=25)
+    out = prepare.condense(df, "body", pattern=pattern, **k)
+    assert out.columns == [*df.columns, "hits"]
+    got = {r.i: (r.body, r.hits) for r in out.collect()}
+    assert len(got) == len(texts) + 1 and got.pop(-1)[0] is None
+    assert [i for i, t in enumerate(texts) if got[i] != plain_condense(t, pattern, **k)] == []
+    assert prepare.condense(df.where("false"), "body", **k).collect() == []
+
+
 def text_gap(s):
     return s.count(" [...] ") + 1
 
