@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.functions import classify, dates, links, text
-from almanac.operators import bitmaps, budget, prepare, present, resolve
+from almanac.operators import bitmaps, budget, keywords, prepare, present, resolve
 from almanac.operators.tables import materialize
 from almanac.plans import pipeline
 from almanac.settings import EVENT_TYPES, REGION_LABELS, TOPICS, TYPE_LABELS, VENUES
@@ -129,6 +129,24 @@ def title_type(spark, d):
     return listing(spark, d).select("ordinal", classify.event_type(F.col("title"), TYPES).alias("kind"))
 
 
+@query(
+    rf"""WITH w AS (SELECT conv_id, turn, regexp_extract_all({sql_clean('text')}, '[\p{{L}}\p{{N}}_]{{3,}}') AS ws FROM conversations),
+k AS (SELECT conv_id AS priority, unnest(ws) AS word FROM w UNION ALL SELECT conv_id, array_to_string(ws[1:2], ' ') FROM w WHERE len(ws) >= 2),
+d AS (SELECT word, min(priority) AS priority FROM k GROUP BY word),
+t AS (SELECT doc_id, {sql_clean('text')} AS c, regexp_extract_all({sql_clean('text')}, '[\p{{L}}\p{{N}}_]{{3,}}') AS ws FROM documents),
+h AS (SELECT doc_id, priority, word FROM t JOIN d ON contains(c, word) WHERE length(word) >= 6 OR contains(word, ' ')
+  UNION ALL SELECT doc_id, priority, word FROM (SELECT DISTINCT doc_id, unnest(ws) AS word FROM t) JOIN d USING (word) WHERE length(word) < 6)
+SELECT doc_id, x.w AS label FROM documents LEFT JOIN (SELECT doc_id, min({{'p': priority, 'w': word}}) AS x FROM h GROUP BY doc_id) USING (doc_id)"""
+)
+def keywords_by_table(spark, d):
+    """Documents by the words and first pairs of words of conversations; those of the first conversations come first."""
+    w = table(spark, d, "conversations").select("conv_id", text.words(text.clean(F.col("text"))).alias("ws"))
+    pairs = w.where(F.size("ws") >= 2).select("conv_id", F.array_join(F.slice("ws", 1, 2), " ").alias("word"))
+    found = w.select("conv_id", F.explode("ws").alias("word")).unionByName(pairs)
+    known = found.select(F.col("conv_id").alias("priority"), "word", F.col("word").alias("label"))
+    return keywords.first_keyword(table(spark, d, "documents").select("doc_id", "text"), "text", known).select("doc_id", "label")
+
+
 @query(f"WITH {LISTING} SELECT ordinal, {sql_region()} AS region FROM listing")
 def region_by_place_or_host(spark, d):
     return listing(spark, d).select("ordinal", classify.event_region(F.col("location"), F.col("url"), REGIONS).alias("region"))
