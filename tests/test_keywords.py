@@ -33,3 +33,23 @@ def test_first_keyword(spark, monkeypatch, small):
     assert len(got) == len(texts) and [(t, got[i], plain(t)) for i, t in enumerate(texts) if got[i] != plain(t)] == []
     assert keywords.first_keyword(rows, "t", table.where("false")).where("label_ IS NOT NULL").count() == 0
     assert keywords.first_keyword(rows.where("false"), "t", table).collect() == []
+
+
+@pytest.mark.parametrize("head", [(256, 2048), (5, 20)])
+def test_texts_meet_keywords_without_copies(spark, monkeypatch, head):
+    """400 texts that hold 300 keywords each, all with one stretch: no text is written for each keyword that it may hold."""
+    monkeypatch.setattr(keywords, "HEADS", head)
+    written, real = {}, keywords.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(keywords, "materialize", counted)
+    ws = [f"friedhof{i:03d}" for i in range(300)]
+    table = spark.createDataFrame([(1000 - i, w, w) for i, w in enumerate(ws)] + [(0, "nirgends da", "x")], "priority int, word string, label string")
+    rows = spark.createDataFrame([(i, " ".join(ws[: len(ws) - i % 2])) for i in range(400)] + [(400, "nichts"), (401, None)], "i int, t string")
+    got = {r.i: r.label for r in keywords.first_keyword(rows, "t", table, form=cleaned).collect()}
+    assert got == {i: None if i >= 400 else ws[299 - i % 2] for i in range(402)}
+    assert "text-grams" not in written and max(written.values()) <= 10 * 402
