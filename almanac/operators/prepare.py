@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.functions.text import DATES
-from almanac.operators.tables import join_hot, materialize, spare
+from almanac.operators.tables import bounded_batches, join_hot, materialize, spare
 from almanac.settings import GAP, MAX_HITS_PER_PAGE, MIN_TEXT_LENGTH, SNIPPET_AFTER, SNIPPET_BEFORE, TEXT_LIMIT
 
 # Elements whose text does not count.
@@ -79,6 +79,12 @@ def html_to_text(raw: pd.Series) -> pd.Series:
     return raw.map(page_text)
 
 
+def with_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
+    """pages with text_col, their text, read in batches of bounded rows and bytes."""
+    bounded_batches(pages.sparkSession)
+    return pages.withColumn(text_col, html_to_text(html_col))
+
+
 def worth_reading(text: Column, pattern: str = DATES, least: int = MIN_TEXT_LENGTH) -> Column:
     return (F.length(text) >= least) & F.rlike(text, F.lit(pattern))
 

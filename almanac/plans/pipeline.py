@@ -12,7 +12,7 @@ from almanac.functions.classify import Labels, TopicRules, event_kind, event_reg
 from almanac.functions.dates import effective_end, parse_date, period
 from almanac.functions.text import decode_entities, strip, strip_fence
 from almanac.operators import budget, present, resolve, tables
-from almanac.operators.prepare import condense, html_to_text, reject_reason
+from almanac.operators.prepare import condense, reject_reason, with_text
 from almanac.schemas import EVENT_COLUMNS, REPLY
 from almanac.settings import EVENT_TYPES, REGIONS
 from almanac.sources.store import EventStore, read_store, write_rejects, write_store
@@ -27,7 +27,7 @@ class Result:
 
 def prepare_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """pages (ordinal, url, html): (condensed texts of those worth reading, (kind, url) of the others)."""
-    texts = pages.select("ordinal", "url", html_to_text("html").alias("text")).withColumn("kind", reject_reason(F.col("text")))
+    texts = with_text(pages).select("ordinal", "url", "text").withColumn("kind", reject_reason(F.col("text")))
     return condense(texts.where("kind IS NULL").drop("kind")), texts.where("kind IS NOT NULL").select("kind", "url")
 
 
