@@ -1,4 +1,5 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints and, for those
+that differ in more bits, MinHash bands find candidates, sets decide.
 
 Texts with equal shingle sets are one node. Nodes that agree in a band share a bucket. In a bucket
 each node is compared with its smallest one; then those that this left in different groups are
@@ -15,19 +16,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.llm import simhash
 from almanac.llm.common import bounded_batches, components, drop, join_hot, materialize, spare
 
 
 @dataclass(frozen=True)
 class Alike:
     """shingle: words. least: the smallest similarity of a link. bands, rows: a pair at 0.8 shares
-    none of 20 bands of 4 rows in 1 of 37,000 cases. seed: of the hash functions."""
+    none of 20 bands of 4 rows in 1 of 37,000 cases. seed: of the hash functions. bits: by which SimHash fingerprints differ at most."""
 
     shingle: int = 5
     least: float = 0.8
     bands: int = 20
     rows: int = 4
     seed: int = 11
+    bits: int = 4
 
 
 #: Hashes of a text that are permuted at a time.
@@ -57,17 +60,18 @@ def band_keys(hashes: np.ndarray, p: Alike) -> np.ndarray:
 
 
 def _described(text: Column, p: Alike) -> Column:
-    """struct(fp, size, bands): a name of the text's set, its size and band keys."""
+    """struct(fp, size, bands, sim): a name of the text's set, its size and band keys, and the text's SimHash fingerprint."""
 
-    @F.pandas_udf("fp long, size int, bands array<long>")
+    @F.pandas_udf("fp long, size int, bands array<long>, sim long")
     def run(texts: pd.Series) -> pd.DataFrame:
-        fp, size, bands = [], [], []
+        fp, size, bands, sim = [], [], [], []
         for t in texts:
             h = shingles(t, p.shingle)
             fp.append(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
             size.append(len(h))
             bands.append(band_keys(h, p).view(np.int64))
-        return pd.DataFrame({"fp": np.array(fp, dtype=np.int64), "size": np.array(size, dtype=np.int32), "bands": bands})
+            sim.append(np.uint64(simhash.simhash(t)).view(np.int64))
+        return pd.DataFrame({"fp": np.array(fp, dtype=np.int64), "size": np.array(size, dtype=np.int32), "bands": bands, "sim": np.array(sim, dtype=np.int64)})
 
     return run(text)
 
@@ -129,6 +133,20 @@ def _open_links(rooted: DataFrame, sets: DataFrame, p: Alike) -> DataFrame:
     return out
 
 
+def near_fingerprints(own: DataFrame, p: Alike) -> DataFrame:
+    """own: (fp, sim). Pairs (leader, fp) of nodes whose texts have SimHash fingerprints that are equal or that near_links() links."""
+    sims = materialize(own.select("fp", "sim").distinct(), "sims")
+    firsts = materialize(sims.groupBy("sim").agg(F.min("fp").alias("leader"), F.count(F.lit(1)).alias("n")), "sim-leaders")
+    equal = join_hot(sims, firsts, ["sim"]).select("leader", "fp")
+    side = lambda c, name: firsts.select(F.col("sim").alias(c), F.col("leader").alias(name))
+    linked = materialize(simhash.near_links(firsts.select(F.col("sim").alias("fp")), p.bits), "sim-links")
+    near = linked.join(side("a", "leader"), "a").join(side("b", "fp"), "b").select("leader", "fp")
+    out = materialize(equal.unionByName(near).where("leader <> fp").distinct(), "sim-pairs")
+    for df in (sims, firsts, linked):
+        drop(df)
+    return out
+
+
 def _leader_links(met: DataFrame, sets: DataFrame, p: Alike) -> DataFrame:
     """Links (a, b) of leaders a with the nodes b of their buckets, written; sets are compared by Spark's own functions."""
     pairs = materialize(met.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct(), "leader-pairs")
@@ -160,6 +178,7 @@ def keep_one(docs: DataFrame, p: Alike = Alike(), key_col: str = "doc_id", text_
     digest, key = F.xxhash64(F.col(f"`{text_col}`")), F.col(f"`{key_col}`")
     found = docs.select(key.alias("id"), digest.alias("digest"), _described(F.col(f"`{text_col}`"), p).alias("x"))
     own = materialize(found.select("id", "digest", "x.*"), "described")
+    similar = near_fingerprints(own, p)
     # equal sets have equal bands; the first document of each node, by id, stands for all of it
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest"))
     nodes = materialize(own.groupBy("fp").agg(first.alias("first"), F.min("digest").alias("digest")), "nodes")
@@ -171,15 +190,17 @@ def keep_one(docs: DataFrame, p: Alike = Alike(), key_col: str = "doc_id", text_
     drop(banded)
     drop(several)
     # the set of each node that meets another, from one of its texts
-    wanted = nodes.select("fp", "digest").join(met.select("fp").distinct().hint("merge"), "fp", "left_semi")
+    meet = met.select("fp").unionByName(similar.select("fp")).unionByName(similar.select(F.col("leader").alias("fp"))).distinct()
+    wanted = nodes.select("fp", "digest").join(meet.hint("merge"), "fp", "left_semi")
     texts = docs.select(digest.alias("digest"), F.col(f"`{text_col}`").alias("text")).dropDuplicates(["digest"]).join(wanted.hint("merge"), "digest")
     sets = materialize(texts.select("fp", _set_of(F.col("text"), p).alias("s")), "sets")
-    links = _leader_links(met.where(near_sizes(F.col("size"), F.col("leader_size"), p.least)), sets, p)
+    banded_pairs = met.where(near_sizes(F.col("size"), F.col("leader_size"), p.least)).select("leader", "fp")
+    links = _leader_links(banded_pairs.unionByName(similar), sets, p)
     rooted = materialize(_roots(met.drop("leader_size"), links), "rooted-buckets")
     links = links.unionByName(_open_links(rooted, sets, p))
     kept = _roots(nodes.select("fp", "first"), links).groupBy("root").agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.col("first.id").alias(id_name), F.col("first.digest").alias(digest_name)), "kept-ids")
-    for df in (met, rooted, sets, nodes):
+    for df in (met, rooted, sets, nodes, similar):
         drop(df)
     # the ids grow with the documents, so they are never broadcast
     some = docs.join(kept.hint("merge"), key.eqNullSafe(F.col(id_name)) & (digest == F.col(digest_name)), "left_semi")

@@ -66,3 +66,15 @@ def test_odd_rows(spark):
     assert sorted(set(out) - set(alone)) == sorted([("1", t), ("1", u), ("4", ""), ("6", "A b"), ("8", "b")]) and len(out) == 6
     assert minhash.keep_one(df).columns == df.columns
     assert minhash.keep_one(df.where("false")).collect() == []
+
+
+def test_simhash_finds_near_copies_before_bands(spark, monkeypatch):
+    """With bands that nothing shares, copies with fingerprints at 4 bits or fewer still go, and others stay."""
+    monkeypatch.setattr(minhash, "band_keys", lambda hashes, p: hashes[:0])
+    rng = random.Random(8)
+    base = text(rng, 1500)
+    rows = [(1, base), (2, edited(rng, base, 1)), (3, text(rng, 200)), (5, text(rng, 1500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sims = {i: minhash.simhash.simhash(t) for i, t in rows}
+    assert (sims[1] ^ sims[2]).bit_count() <= 4
+    assert sorted(r.doc_id for r in minhash.keep_one(df).collect()) == [1, 3, 5]
