@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +26,8 @@ PARTS = 1_000_000_000
 @dataclass(frozen=True)
 class Audit:
     """least: documents of a language that a kept term is in. prior: added to each count. top: ranks of terms.
-    lot: bytes of texts whose terms a partition counts at a time. page: leaves of a piece of a trie. range_mb:
-    of pages that are merged in a task, about. part: kept terms, about, and block: sources that are compared in
+    lot: bytes of texts whose terms a partition counts at a time. page: leaves of a piece of a trie. mark: leaves
+    from one to the next of its paths that are told. range_mb: of pages that are merged in a task, about. part: kept terms, about, and block: sources that are compared in
     a task. step: terms that are compared at a time."""
 
     least: int = 30
@@ -35,13 +35,17 @@ class Audit:
     top: int = 50
     lot: int = 8 << 20
     page: int = 2048
+    mark: int = 128
     range_mb: float = 8.0
     part: int = 16_384
     block: int = 256
     step: int = 1024
 
 
-PAGE = "lang string, low string, high string, shared array<int>, label binary, ends array<long>, docs array<long>, first array<int>, source array<int>, count array<long>, names array<string>"
+#: Encoded bytes of a row group of pages, about. Spark's reader holds up to 4,096 rows of one, however long, with several times these bytes.
+PAGE_GROUP = 2 << 20
+PIECE = "lang string, shared array<int>, label binary, ends array<long>, docs array<long>, first array<int>, source array<int>, count array<long>, names array<string>"
+PAGE = f"{PIECE}, high string, marks array<string>, weight long"
 LEAVES = "lang string, term string, total long, sources array<string>, counts array<long>"
 
 
@@ -81,19 +85,23 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
 def _pages(lang: str, trie: Trie, paths: pa.LargeBinaryArray, names: list[str], p: Audit) -> Iterator[pa.RecordBatch]:
     """A trie cut to pages, each a trie of its own."""
     for at in range(0, len(trie), p.page):
-        yield _page(lang, trie.take(np.arange(at, min(len(trie), at + p.page)), paths), paths[at : at + p.page], names)
+        own = paths[at : at + p.page]
+        piece = _piece(lang, trie.take(np.arange(at, at + len(own)), paths), names)
+        high, marks = own[-1:].cast(pa.binary()).cast(pa.string()), own[:: p.mark].cast(pa.binary()).cast(pa.string())
+        marks = pa.ListArray.from_arrays(pa.array([0, len(marks)], pa.int32()), marks)
+        weight = pa.array([16 * len(own) + 12 * len(piece["count"].values) + len(piece["label"][0].as_py())], pa.int64())
+        yield pa.RecordBatch.from_arrays([*piece.columns, high, marks, weight], names=[x.split()[0] for x in PAGE.split(", ")])
 
 
-def _page(lang: str, t: Trie, paths: pa.LargeBinaryArray, names: list[str]) -> pa.RecordBatch:
+def _piece(lang: str, t: Trie, names: list[str]) -> pa.RecordBatch:
     used, source = np.unique(t.source, return_inverse=True)
     ends = np.frombuffer(t.label.buffers()[1], dtype=np.int64)[: len(t) + 1]
-    text = lambda x: pa.array([x.as_py()], pa.binary()).cast(pa.string())
     one = lambda values, kind: _lists(values, np.array([0, len(values)]), kind)
     arrays = [
-        pa.array([lang]), text(paths[0]), text(paths[-1]), one(t.shared, pa.int32()), pa.array([t.label.buffers()[2].to_pybytes()[: int(ends[-1])]], pa.binary()), one(ends, pa.int64()),
+        pa.array([lang]), one(t.shared, pa.int32()), pa.array([t.label.buffers()[2].to_pybytes()[: int(ends[-1])]], pa.binary()), one(ends, pa.int64()),
         one(t.docs, pa.int64()), one(t.first, pa.int32()), one(source, pa.int32()), one(t.count, pa.int64()), one(np.array(names, dtype=object)[used], pa.string()),
     ]
-    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PAGE.split(", ")])
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PIECE.split(", ")])
 
 
 def _tries(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[str, Trie, list[str]]]:
@@ -141,26 +149,43 @@ def _count(p: Audit):
     return run
 
 
-def _cut(cuts: list[tuple[str, bytes]], page_schema: list[str]):
-    """Pages to pages that lie in one range each, with the number of that range; cuts: the first paths of ranges 1, 2, ..."""
+def _first_from(trie: Trie, marks: list[bytes], step: int, cut: bytes) -> tuple[int, bytes]:
+    """(number, path) of a trie's first leaf that is not before cut; marks: the path of each step-th leaf. One is before cut, and one is not."""
+    k = bisect_left(marks, cut)
+    at, path = (k - 1) * step, marks[k - 1]
+    last = min(len(trie), k * step + 1)
+    labels = trie.label[at:last].to_pylist()
+    for i, (same, label) in enumerate(zip(trie.shared[at:last].tolist(), labels)):
+        path = path[:same] + label if i else path
+        if path >= cut:
+            return at + i, path
+    raise ValueError("no leaf from the cut on")
+
+
+def _cut(cuts: list[tuple[str, bytes]], p: Audit):
+    """Pages to pieces that lie in one range each, with the number of that range; cuts: the first paths of ranges 1, 2, ...
+
+    Only the leaves between two marks are walked for a cut, and arrays are sliced, so that a page costs little
+    however many ranges it is cut to."""
+    names = [x.split()[0] for x in PIECE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lows, highs = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("low", "high"))
-            langs = batch.column("lang").to_pylist()
-            ends = [(bisect_right(cuts, (lg, a)), bisect_right(cuts, (lg, b))) for lg, a, b in zip(langs, lows, highs)]
+            langs, highs = batch.column("lang").to_pylist(), batch.column("high").cast(pa.binary()).to_pylist()
+            marks = [[m.encode() for m in x] for x in batch.column("marks").to_pylist()]
+            pieces = batch.select(names)
+            ends = [(bisect_right(cuts, (lg, a[0])), bisect_right(cuts, (lg, b))) for lg, a, b in zip(langs, marks, highs)]
             whole = [i for i, (a, b) in enumerate(ends) if a == b]
-            some = batch.take(pa.array(whole, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array([ends[i][0] for i in whole], pa.int32())], names=[*page_schema, "range"])
+            some = pieces.take(pa.array(whole, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array([ends[i][0] for i in whole], pa.int32())], names=[*names, "range"])
             for i, (a, b) in enumerate(ends):
                 if a < b:
-                    lang, trie, names = next(_tries(batch.slice(i, 1)))
-                    paths = trie.terms()
-                    at = [0, *np.searchsorted(np.array(paths.to_pylist(), dtype=object), [c for _, c in cuts[a:b]], side="left").tolist(), len(trie)]
-                    for k, (x, y) in enumerate(zip(at, at[1:])):
+                    lang, trie, sources = next(_tries(pieces.slice(i, 1)))
+                    at = [(0, marks[i][0]), *[_first_from(trie, marks[i], p.mark, c) for _, c in cuts[a:b]], (len(trie), b"")]
+                    for k, ((x, path), (y, _)) in enumerate(zip(at, at[1:])):
                         if x < y:
-                            page = _page(lang, trie.take(np.arange(x, y), paths), paths[x:y], names)
-                            yield pa.RecordBatch.from_arrays([*page.columns, pa.array([a + k], pa.int32())], names=[*page_schema, "range"])
+                            piece = _piece(lang, trie.part(x, y, path), sources)
+                            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([a + k], pa.int32())], names=[*names, "range"])
 
     return run
 
@@ -192,18 +217,16 @@ def _merge(least: int):
 def term_leaves(docs: DataFrame, p: Audit, lang: Column, source: Column, text: Column) -> DataFrame:
     """(range, lang, term, total, sources, counts) of the kept terms, one row each, written.
 
-    The bounds of ranges are found by a distributed range partitioning of the pages' first paths; the driver
-    gets one path for each range."""
+    The bounds of ranges are found by a distributed range partitioning of the pages' marks, of which each stands for as many
+    leaves, so that no range grows with the number of tries that begin alike; the driver gets one path for each range."""
     bounded_batches(docs.sparkSession)
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), blank(text).alias("text"))
-    pages = materialize(rows.mapInArrow(_count(p), PAGE), "term-pages")
-    weight = F.sum(F.size("count") * 12 + F.size("docs") * 16 + F.length("label"))
-    n = max(1, round((pages.agg(weight).first()[0] or 0) / (p.range_mb * 1e6)))
-    bounds = pages.select("lang", "low").repartitionByRange(n, "lang", "low").groupBy(F.spark_partition_id()).agg(F.min(F.struct("lang", "low")).alias("m"))
+    pages = materialize(rows.mapInArrow(_count(p), PAGE), "term-pages", **{"parquet.block.size": PAGE_GROUP})
+    n = max(1, round((pages.agg(F.sum("weight")).first()[0] or 0) / (p.range_mb * 1e6)))
+    bounds = pages.select("lang", F.explode("marks").alias("low")).repartitionByRange(n, "lang", "low").groupBy(F.spark_partition_id()).agg(F.min(F.struct("lang", "low")).alias("m"))
     cuts = sorted((r.m.lang.encode(), r.m.low.encode()) for r in bounds.collect())[1:]
-    names = [x.split()[0] for x in PAGE.split(", ")]
-    placed = pages.mapInArrow(_cut([(a.decode(), b) for a, b in cuts], names), PAGE + ", range int")
+    placed = pages.mapInArrow(_cut([(a.decode(), b) for a, b in cuts], p), PIECE + ", range int")
     kept = placed.groupBy("range").applyInArrow(lambda key, t: _with_range(key, _merge(p.least)(t)), "range int, " + LEAVES)
     kept = materialize(kept, "kept-terms")
     drop(pages)

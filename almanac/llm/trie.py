@@ -85,6 +85,15 @@ class Trie:
         at = gathered(np.arange(len(self.source)), self.first[leaves], size)
         return Trie.of(terms.take(pa.array(leaves)), self.docs[leaves], np.concatenate([[0], np.cumsum(size)]), self.source[at], self.count[at])
 
+    def part(self, x: int, y: int, path: bytes) -> Trie:
+        """The trie of the leaves from x up to y, of which the first has this path: slices, but for that one's label."""
+        data, offsets = _bytes_of(self.label)
+        shared, size = self.shared[x:y].copy(), np.diff(offsets[x : y + 1])
+        shared[0], size[0] = 0, len(path)
+        label = _terms_of(np.concatenate([np.frombuffer(path, dtype=np.uint8), data[offsets[x + 1] : offsets[y]]]), np.concatenate([[0], np.cumsum(size)]))
+        a, b = int(self.first[x]), int(self.first[y])
+        return Trie(shared, label, self.docs[x:y], self.first[x : y + 1] - a, self.source[a:b], self.count[a:b])
+
 
 def merged(tries: list[tuple[Trie, list[str]]]) -> tuple[Trie, list[str], pa.LargeBinaryArray]:
     """(one trie of several, names of its sources in order of code points, its terms). Each trie comes with the

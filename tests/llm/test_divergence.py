@@ -118,3 +118,24 @@ def test_query_equals_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
     sql = duckdb.sql(queries.OP12_SQL).fetchall()
     assert got(queries.op12_source_divergence(spark, d)) == sorted(sql)
+
+
+def test_ranges_stay_even_where_tries_begin_alike(spark):
+    """The tries of all partitions begin with the same term and fill a page each; terms are dealt to ranges by marks inside pages."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in (2, 1, 0)) for i in range(1500)]
+    docs = spark.createDataFrame([("en", f"s{i % 3}", " ".join(words)) for i in range(12)], "lang string, source string, text string").repartition(12)
+    kept = divergence.term_leaves(docs, Audit(least=1, range_mb=0.06), docs.lang, docs.source, docs.text)
+    sizes = [r["count"] for r in kept.groupBy("range").count().collect()]
+    assert sum(sizes) == 1500 and len(sizes) >= 5 and max(sizes) <= 600
+
+
+@settings(max_examples=100, deadline=None)
+@given(TERMS.filter(bool), st.integers(1, 4), st.data())
+def test_tries_are_cut_at_any_path(terms, step, data):
+    trie, names, paths, want = built(terms)
+    cut = data.draw(st.sampled_from(paths.to_pylist())) if len(paths) == 1 else data.draw(st.sampled_from(paths.to_pylist()[1:]))
+    if len(paths) > 1:
+        at, path = divergence._first_from(trie, paths[::step].to_pylist(), step, cut)
+        assert paths[at].as_py() == path == cut
+        got = [(0, at, paths[0].as_py()), (at, len(trie), path)]
+        assert [x for a, b, first in got for x in leaves(trie.part(a, b, first), names, paths[a:b])] == want
